@@ -73,7 +73,7 @@ def product_table(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def monthly_table(df: DataFrame) -> DataFrame:
-    return monthly_columns(reports.by_month(df))
+    return monthly_columns(reports.month_totals(df))
 
 
 def monthly_columns(months: DataFrame) -> DataFrame:
@@ -94,11 +94,11 @@ def monthly_columns(months: DataFrame) -> DataFrame:
 
 
 def category_table(df: DataFrame) -> DataFrame:
-    return share_columns(reports.by_category(df), "categorie")
+    return share_columns(reports.group_totals(df, "categorie"), "categorie")
 
 
 def region_table(df: DataFrame) -> DataFrame:
-    return share_columns(reports.by_region(df), "region")
+    return share_columns(reports.group_totals(df, "region"), "region")
 
 
 def share_columns(groups: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import ratio
 from ..settings import Settings
+from ..staging import materialise
 from .measures import is_excluded
 
 ROLLUP_KEYS = ("annee", "mois", "mois_nom", "vendeur", "region", "categorie", "produit", "statut")
@@ -99,22 +100,32 @@ def by_region(df: DataFrame) -> DataFrame:
     return _ranked(df, "region", None)
 
 
+def month_totals(df: DataFrame) -> DataFrame:
+    """Booked revenue per calendar month, in no order."""
+    return _as_double(_booked(df, "annee", "mois", "mois_nom"))
+
+
+def group_totals(df: DataFrame, key: str) -> DataFrame:
+    """Booked revenue per value of one key, in no order."""
+    return _as_double(_booked(df, key))
+
+
 def by_month(df: DataFrame) -> DataFrame:
     """Booked revenue per calendar month, oldest first."""
-    return _as_double(_booked(df, "annee", "mois", "mois_nom").orderBy("annee", "mois"))
+    return month_totals(df).orderBy("annee", "mois")
 
 
 def heatmap_cells(df: DataFrame) -> DataFrame:
-    """Salesperson x region pairs that occur, as exact decimals."""
-    return _booked(df, "vendeur", "region")
+    """Salesperson x region pairs that occur, as exact decimals.
 
+    Stored, because the cross-tabs read it three times: the lines are scanned
+    once and the rest works on this small table.
+    """
+    return materialise(_booked(df, "vendeur", "region"), "cells")
 
-def heatmap_long(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Dense cross-tab in long form: one row per salesperson and region, empty cells 0.
 
-    The list of regions is gathered once per salesperson row from a scalar
-    subquery; the cells themselves are aggregated before anything is joined.
-    """
+def heatmap_long(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Dense cross-tab in long form: one row per salesperson and region, empty cells 0."""
     cells = heatmap_cells(df) if cells is None else cells
     regions = cells.agg(F.sort_array(F.collect_set("region")).alias("regions"))
     grid = (
@@ -134,7 +145,7 @@ def heatmap_wide(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     the distinct regions, under the limit that Spark sets for pivots.
     """
     cells = heatmap_cells(df) if cells is None else cells
-    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    limit = int(cells.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     names = [r[0] for r in cells.select("region").distinct().limit(limit + 1).collect()]
     if len(names) > limit:
         raise ValueError(f"more than {limit} regions: use heatmap_long")
@@ -192,13 +203,13 @@ def reports_from_groups(
         F.count(F.when((F.col("grain") == "vendeur") & F.col("vendeur").isNotNull(), 1)).alias("nb_vendeurs"),
         F.count(F.when((F.col("grain") == "produit") & F.col("produit").isNotNull(), 1)).alias("nb_produits"),
     )
-    cells = grain("vendeur", "region")
+    cells = _booked(grain("vendeur", "region"), "vendeur", "region")
     return {
         "kpis": kpi_figures(figures),
         "par_vendeur": top_vendors(grain("vendeur"), settings.top_vendors),
         "par_mois": by_month(grain("annee", "mois", "mois_nom")),
         "par_categorie": by_category(grain("categorie")),
         "par_region": by_region(grain("region")),
-        "heatmap": heatmap_wide(cells),
+        "heatmap": heatmap_wide(groups, cells),
         "top_produits": top_products(grain("produit"), settings.top_products),
     }

@@ -13,8 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import labels
 from ..operators import analytics, cleaning, quality, reports
 from ..operators.measures import enrich
-from ..settings import NA_TOKENS, NUMERIC_COLUMNS, SOURCE_COLUMN, TEXT_COLUMNS, Settings
+from ..settings import (
+    BUSINESS_COLUMNS, NA_TOKENS, NUMERIC_COLUMNS, SOURCE_COLUMN, TEXT_COLUMNS, Settings,
+)
+from ..sources import csv_files
+from ..sources.csv_files import union_by_name
 from ..sources.star import raw_sales, sales, sales_with_calendar
+from ..staging import staging_path
+from ..streaming import monthly
+from . import run, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -146,18 +153,18 @@ def product_rank(spark, d):
 
 @query
 def month_over_month(spark, d):
-    months = reports.by_month(_lines(spark, d, "date"))
+    months = reports.month_totals(_lines(spark, d, "date"))
     return analytics.with_change(months).withColumn("variation_pct", F.bround("variation_pct", 2))
 
 
 @query
 def running_total(spark, d):
-    return analytics.with_running_total(reports.by_month(_lines(spark, d, "date")))
+    return analytics.with_running_total(reports.month_totals(_lines(spark, d, "date")))
 
 
 @query
 def month_trend(spark, d):
-    months = analytics.with_change(reports.by_month(_lines(spark, d, "date")))
+    months = analytics.with_change(reports.month_totals(_lines(spark, d, "date")))
     return analytics.with_trend(months).select("annee", "mois", "tendance")
 
 
@@ -389,3 +396,181 @@ def top5_vendors(spark, d):
 @query
 def reconcile(spark, d):
     return quality.reconcile(enrich(sales_with_calendar(spark, d)))
+
+
+# ---------------------------------------------------------------- one-pass bundle
+
+
+@query
+def transform_bundle(spark, d):
+    """The grouped result tables of a whole transform, stacked as (report, key, revenue)."""
+    results = run.transform(sales_with_calendar(spark, d))
+    keys = {
+        "par_vendeur": F.col("vendeur"),
+        "par_mois": F.concat_ws("-", "annee", "mois"),
+        "par_categorie": F.col("categorie"),
+        "par_region": F.col("region"),
+        "top_produits": F.col("produit"),
+    }
+    return union_by_name(
+        [
+            results[name].select(F.lit(name).alias("rapport"), key.alias("cle"), "ca_total")
+            for name, key in keys.items()
+        ]
+    )
+
+
+@query
+def transform_kpis(spark, d):
+    return run.transform(sales_with_calendar(spark, d))["kpis"]
+
+
+@query
+def transform_heatmap(spark, d):
+    return run.transform(sales_with_calendar(spark, d))["heatmap"]
+
+
+# ---------------------------------------------------------------- files in and out
+#
+# The inputs below are CSV files that Spark writes from the tables.
+
+
+def _feed(spark, d) -> DataFrame:
+    return raw_sales(spark, d).select(*BUSINESS_COLUMNS)
+
+
+def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Dirty lines in two parts, for drops that differ from each other."""
+    raw = raw_sales(spark, d)
+    first = F.col(SOURCE_COLUMN) < "ventes_1998_07.csv"
+    return raw.filter(first).select(*BUSINESS_COLUMNS), raw.filter(~first).select(*BUSINESS_COLUMNS)
+
+
+@query
+def scan_csv(spark, d):
+    folder = staging_path(spark, "csv")
+    sinks.write_csv(_feed(spark, d), folder)
+    return csv_files.scan_csv(spark, folder).lines.select(*BUSINESS_COLUMNS)
+
+
+@query
+def scan_csv_reordered(spark, d):
+    """Two drops with opposite column order."""
+    folder = staging_path(spark, "csv")
+    first, second = _halves(spark, d)
+    sinks.write_csv(first, folder)
+    sinks.write_csv(second.select(*reversed(BUSINESS_COLUMNS)), folder, "append")
+    return csv_files.scan_csv(spark, folder).lines.select(*BUSINESS_COLUMNS)
+
+
+@query
+def scan_csv_quoted(spark, d):
+    """Quotes, commas and line breaks inside fields."""
+    folder = staging_path(spark, "csv")
+    awkward = F.concat(F.col("produit"), F.lit(' 27"\n, '), F.col("categorie"))
+    sinks.write_csv(_feed(spark, d).withColumn("produit", awkward), folder)
+    return csv_files.scan_csv(spark, folder).lines.select(*BUSINESS_COLUMNS)
+
+
+@query
+def union_files(spark, d):
+    """The later drop lacks the discount and brings a new column."""
+    folder = staging_path(spark, "csv")
+    first, second = _halves(spark, d)
+    sinks.write_csv(first, folder)
+    sinks.write_csv(second.drop("remise").withColumn("commentaire", F.upper("produit")), folder, "append")
+    return csv_files.scan_csv(spark, folder).lines.select(*BUSINESS_COLUMNS, "commentaire")
+
+
+@query
+def provenance(spark, d):
+    """Lines whose provenance is the name of a file of the folder."""
+    folder = staging_path(spark, "csv")
+    sinks.write_csv(_feed(spark, d), folder)
+    scan = csv_files.scan_csv(spark, folder)
+    counted = scan.lines.groupBy(SOURCE_COLUMN).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(scan.files, SOURCE_COLUMN).agg(
+        F.sum("n").alias("nb_lignes"),
+        F.count_if(F.col("n") != F.col("nb_lignes")).alias("nb_ecarts"),
+        F.count_if(~F.col(SOURCE_COLUMN).rlike(r"^part-\d+-.*\.csv$")).alias("nb_noms_faux"),
+    )
+
+
+@query
+def quarantine_files(spark, d):
+    """The later drop has surplus fields in the lines of one status; its files go aside whole."""
+    folder = staging_path(spark, "csv")
+    first, second = _halves(spark, d)
+    sinks.write_csv(first, folder)
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in BUSINESS_COLUMNS]
+    line = F.concat_ws(",", *fields, F.when(F.col("statut") == "Livré", "surplus"))
+    # One text column named like the header line: the writer puts it on top of every file.
+    (
+        second.filter(F.col("statut") == "Livré").select(line.alias(",".join(BUSINESS_COLUMNS)))
+        .write.mode("append").option("header", True).option("sep", "\u0001").option("quote", "\u0000")
+        .csv(folder)
+    )
+    scan = csv_files.scan_csv(spark, folder)
+    aside = csv_files.quarantined(scan.files)
+    return union_by_name(
+        [
+            scan.lines.agg(F.lit("lues").alias("etat"), F.count(F.lit(1)).alias("nb")),
+            aside.agg(F.lit("fautives").alias("etat"), F.sum("nb_lignes_fautives").alias("nb")),
+        ]
+    )
+
+
+@query
+def validate_columns(spark, d):
+    return csv_files.validate_columns(_feed(spark, d))
+
+
+@query
+def ingest(spark, d):
+    """Missing-value tokens in the files, gaps in the result."""
+    folder = staging_path(spark, "csv")
+    sinks.write_csv(_feed(spark, d).na.fill("NA"), folder)
+    return csv_files.ingest(spark, folder).select(*BUSINESS_COLUMNS)
+
+
+@query
+def stream_ingest(spark, d):
+    """Two drops, two runs of the stream; the second reads only the new files."""
+    folder, table_dir, marks = (staging_path(spark, n) for n in ("csv", "stream", "marks"))
+    first, second = _halves(spark, d)
+    sinks.write_csv(first, folder)
+    monthly.ingest_new_files(spark, folder, table_dir, marks)
+    sinks.write_csv(second, folder, "append")
+    monthly.ingest_new_files(spark, folder, table_dir, marks)
+    return monthly.stored_lines(spark, table_dir).select(*BUSINESS_COLUMNS)
+
+
+@query
+def csv_roundtrip(spark, d):
+    """Canonical lines written as CSV by month and read back with their types."""
+    folder = staging_path(spark, "export")
+    lines = sales_with_calendar(spark, d).drop("mois_nom", "semaine", "trimestre")
+    sinks.export_csv(lines, folder)
+    kinds = {**dict(lines.dtypes)}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in lines.columns)
+    return _doubles(
+        spark.read.schema(schema).option("header", True).option("escape", '"').csv(folder)
+    )
+
+
+@query
+def write_reports(spark, d):
+    """Cards written as JSON and read back."""
+    out = staging_path(spark, "reports")
+    cards = analytics.kpi_cards(reports.kpis(_lines(spark, d, "vendeur", "produit")))
+    sinks.write_reports({"kpi_cards": cards}, out, "essai", "json")
+    return sinks.read_report(spark, out, "essai", "kpi_cards", "json")
+
+
+@query
+def run_reports(spark, d):
+    """CSV folder to written reports, end to end; the monthly table is read back."""
+    folder, out = staging_path(spark, "csv"), staging_path(spark, "reports")
+    sinks.write_csv(_feed(spark, d), folder)
+    done = run.run(spark, folder, out, period="Essai", run_id="essai")
+    return sinks.read_report(spark, out, done.run_id, "mois").drop("periode")

@@ -381,3 +381,37 @@ _register("quality_report", " UNION ALL ".join(
     f"{n} AS nb, CAST({value} AS VARCHAR) AS valeur"
     for i, (step, column, n, value) in enumerate(_QUALITY, start=1)
 ), "raw", "uniq", "dated", "med")
+
+# ---------------------------------------------------------------- one-pass bundle
+
+_register("transform_bundle", """
+SELECT * FROM (SELECT 'par_vendeur' AS rapport, vendeur AS cle, ca_total FROM by_vendeur
+  ORDER BY ca_total DESC, vendeur LIMIT 10)
+UNION ALL SELECT 'par_mois', CAST(annee AS VARCHAR) || '-' || CAST(mois AS VARCHAR), ca_total FROM months
+UNION ALL SELECT 'par_categorie', categorie, ca_total FROM by_categorie
+UNION ALL SELECT 'par_region', region, ca_total FROM by_region
+UNION ALL SELECT * FROM (SELECT 'top_produits', produit, ca_total FROM by_produit
+  ORDER BY ca_total DESC, produit LIMIT 10)""", "by_vendeur", "months", "by_categorie", "by_region", "by_produit")
+ORACLE["transform_kpis"] = ORACLE["kpis"]
+ORACLE["transform_heatmap"] = ORACLE["heatmap_wide"]
+
+# ---------------------------------------------------------------- files in and out
+
+_FEED = "date, vendeur, region, produit, categorie, quantite, prix_unitaire, remise, statut"
+_FIRST = "source_fichier < 'ventes_1998_07.csv'"
+for _name in ("scan_csv", "scan_csv_reordered", "validate_columns", "ingest", "stream_ingest"):
+    _register(_name, f"SELECT {_FEED} FROM raw", "raw")
+_register("scan_csv_quoted", f"""
+SELECT * REPLACE (produit || ' 27"' || chr(10) || ', ' || categorie AS produit) FROM (SELECT {_FEED} FROM raw)""", "raw")
+_register("union_files", f"""
+SELECT {_FEED}, CAST(NULL AS VARCHAR) AS commentaire FROM raw WHERE {_FIRST}
+UNION ALL SELECT * REPLACE (CAST(NULL AS VARCHAR) AS remise), upper(produit) FROM (
+  SELECT {_FEED} FROM raw WHERE NOT {_FIRST})""", "raw")
+_register("provenance", "SELECT count(*) AS nb_lignes, 0 AS nb_ecarts, 0 AS nb_noms_faux FROM raw", "raw")
+_register("quarantine_files", f"""
+SELECT 'lues' AS etat, count(*) AS nb FROM raw WHERE {_FIRST}
+UNION ALL SELECT 'fautives', count(*) FROM raw WHERE NOT {_FIRST} AND statut = 'Livré'""", "raw")
+_register("csv_roundtrip", f"""
+SELECT date, vendeur, region, produit, categorie, quantite, {_AMOUNTS}, statut, annee, mois FROM enriched""", "enriched")
+ORACLE["write_reports"] = ORACLE["kpi_cards"]
+ORACLE["run_reports"] = ORACLE["monthly_from_raw"]
