@@ -149,6 +149,8 @@ def heatmap_wide(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     names = [r[0] for r in cells.select("region").distinct().limit(limit + 1).collect()]
     if len(names) > limit:
         raise ValueError(f"more than {limit} regions: use heatmap_long")
+    if not names:
+        return cells.select("vendeur").distinct()
     return cells.groupBy("vendeur").agg(
         *[
             _money(F.coalesce(F.sum(F.when(F.col("region") == name, F.col("ca_total"))), F.lit(0))).alias(name)

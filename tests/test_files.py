@@ -1,0 +1,258 @@
+import csv
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from salesloom import MissingColumnsError, NoReadableFileError
+from salesloom.plans import run, sinks
+from salesloom.settings import BUSINESS_COLUMNS
+from salesloom.sources import csv_files
+from salesloom.streaming import monthly
+from helpers import VALID, line, rows
+
+HEADER = ",".join(BUSINESS_COLUMNS)
+PLAIN = ",".join(VALID)
+
+
+def write(folder, name, text, encoding="utf-8"):
+    (folder / name).write_bytes(text.encode(encoding))
+
+
+def lines_of(*lines):
+    return HEADER + "\n" + "\n".join(lines) + "\n"
+
+
+def scanned(spark, folder):
+    return csv_files.scan_csv(spark, str(folder))
+
+
+def aside(scan):
+    return {r[0]: (r[1], r[2]) for r in rows(csv_files.quarantined(scan.files))}
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig"])
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_byte_order_mark_and_line_ends(spark, tmp_path, encoding, ending):
+    write(tmp_path, "a.csv", lines_of(PLAIN).replace("\n", ending), encoding)
+    found = scanned(spark, tmp_path).lines
+    assert found.columns[:9] == list(BUSINESS_COLUMNS)
+    assert rows(found, *BUSINESS_COLUMNS) == [VALID]
+
+
+def test_columns_match_by_name(spark, tmp_path):
+    write(tmp_path, "a.csv", lines_of(PLAIN))
+    write(tmp_path, "b.csv", ",".join(reversed(BUSINESS_COLUMNS)) + "\n" + ",".join(reversed(VALID)) + "\n")
+    assert rows(scanned(spark, tmp_path).lines, *BUSINESS_COLUMNS) == [VALID, VALID]
+
+
+def test_column_missing_in_one_file_is_null_there(spark, tmp_path):
+    write(tmp_path, "a.csv", lines_of(PLAIN))
+    write(tmp_path, "b.csv", "date,vendeur,commentaire\n2024-02-01,Bob,vu\n")
+    found = rows(csv_files.ingest(spark, str(tmp_path)).orderBy("date"), "vendeur", "remise", "commentaire")
+    assert found == [("Alice Martin", "0.05", None), ("Bob", None, "vu")]
+
+
+def test_column_missing_everywhere_is_an_error(spark, tmp_path):
+    write(tmp_path, "a.csv", "date,vendeur\n2024-02-01,Bob\n")
+    with pytest.raises(MissingColumnsError, match="'region', .*'statut'"):
+        csv_files.ingest(spark, str(tmp_path))
+
+
+def test_names_are_case_sensitive(spark, tmp_path):
+    write(tmp_path, "a.csv", lines_of(PLAIN).replace("date", "Date", 1))
+    with pytest.raises(MissingColumnsError, match=r"\['date'\]"):
+        csv_files.ingest(spark, str(tmp_path))
+    write(tmp_path, "b.csv", lines_of(PLAIN))
+    found = csv_files.ingest(spark, str(tmp_path))
+    assert sorted(rows(found, "source_fichier", "date")) == [("a.csv", None), ("b.csv", "2024-01-15")]
+
+
+def test_repeated_and_empty_names(spark, tmp_path):
+    write(tmp_path, "a.csv", HEADER + ",note,note,\n" + PLAIN + ",x,y,z\n")
+    found = scanned(spark, tmp_path).lines
+    assert rows(found, "note", "`note.1`", "`Unnamed: 11`") == [("x", "y", "z")]
+
+
+def test_quotes(spark, tmp_path):
+    write(tmp_path, "a.csv", lines_of(
+        PLAIN.replace("Laptop Pro", 'Écran 4K 27"'), PLAIN.replace("Laptop Pro", '"Écran 4K 27"""'),
+        PLAIN.replace("Laptop Pro", '"a, b"'),
+    ))
+    found = [r[0] for r in rows(scanned(spark, tmp_path).lines, "produit")]
+    assert sorted(found) == ["a, b", 'Écran 4K 27"', 'Écran 4K 27"']
+
+
+def test_line_break_in_quotes(spark, tmp_path):
+    write(tmp_path, "a.csv", lines_of(PLAIN.replace("Laptop Pro", '"a\n\nb"'), PLAIN))
+    write(tmp_path, "b.csv", lines_of(PLAIN))
+    scan = scanned(spark, tmp_path)
+    assert sorted(r[0] for r in rows(scan.lines, "produit")) == ["Laptop Pro", "Laptop Pro", "a\n\nb"]
+    assert sorted(rows(scan.files, "source_fichier", "nb_lignes", "lu")) == [("a.csv", 2, True), ("b.csv", 1, True)]
+
+
+def test_bad_files_are_set_aside_whole(spark, tmp_path):
+    write(tmp_path, "bon.csv", lines_of(PLAIN))
+    write(tmp_path, "large.csv", lines_of(PLAIN, PLAIN + ",x", PLAIN + ","))
+    write(tmp_path, "vide.csv", "")
+    write(tmp_path, "blanc.csv", "\n \n")
+    write(tmp_path, "latin.csv", lines_of(PLAIN), "latin-1")
+    write(tmp_path, "ouvert.csv", lines_of(PLAIN, PLAIN.replace("Laptop Pro", '"Laptop'), PLAIN))
+    write(tmp_path, "_cache.csv", lines_of(PLAIN))
+    scan = scanned(spark, tmp_path)
+    assert rows(scan.lines, "source_fichier") == [("bon.csv",)]
+    assert aside(scan) == {
+        "large.csv": (csv_files.WIDE_ROWS, 2), "vide.csv": (csv_files.EMPTY, 0), "blanc.csv": (csv_files.EMPTY, 0),
+        "latin.csv": (csv_files.BAD_ENCODING, 0), "ouvert.csv": (csv_files.OPEN_QUOTE, 0),
+        "_cache.csv": (csv_files.HIDDEN, 0),
+    }
+
+
+def test_wide_row_after_a_record_of_several_lines(spark, tmp_path):
+    write(tmp_path, "bon.csv", lines_of(PLAIN))
+    write(tmp_path, "large.csv", lines_of(PLAIN.replace("Laptop Pro", '"a\nb"'), PLAIN + ",x"))
+    assert aside(scanned(spark, tmp_path)) == {"large.csv": (csv_files.WIDE_ROWS, 1)}
+
+
+def test_short_and_blank_rows(spark, tmp_path):
+    write(tmp_path, "a.csv", lines_of("2024-01-15,Alice", "", "   ", PLAIN))
+    assert rows(scanned(spark, tmp_path).lines, "vendeur", "statut") == [("Alice", None), ("Alice Martin", "Livré")]
+
+
+def test_file_with_header_only(spark, tmp_path):
+    write(tmp_path, "a.csv", HEADER + "\n")
+    write(tmp_path, "b.csv", lines_of(PLAIN))
+    scan = scanned(spark, tmp_path)
+    assert scan.lines.count() == 1
+    assert sorted(rows(scan.files, "source_fichier", "nb_lignes", "lu")) == [("a.csv", 0, True), ("b.csv", 1, True)]
+
+
+@pytest.mark.parametrize("name", ["ventes été 1.csv", "a+b%20c.csv", "ventes [1] {x}.csv"])
+def test_provenance_is_the_plain_name(spark, tmp_path, name):
+    write(tmp_path, name, lines_of(PLAIN))
+    write(tmp_path, "autre.csv", lines_of(PLAIN) + PLAIN + ",trop\n")
+    assert rows(scanned(spark, tmp_path).lines, "source_fichier") == [(name,)]
+
+
+def test_only_the_folder_itself_is_read(spark, tmp_path):
+    write(tmp_path, "a.csv", lines_of(PLAIN))
+    write(tmp_path, "b.CSV", lines_of(PLAIN))
+    (tmp_path / "annee=2024").mkdir()
+    write(tmp_path / "annee=2024", "c.csv", lines_of(PLAIN))
+    assert rows(scanned(spark, tmp_path).lines, "source_fichier") == [("a.csv",)]
+
+
+def test_nothing_to_read(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        scanned(spark, tmp_path)
+    write(tmp_path, "a.csv", "")
+    with pytest.raises(NoReadableFileError):
+        scanned(spark, tmp_path)
+    write(tmp_path, "b.csv", lines_of(PLAIN) + PLAIN + ",x\n")
+    with pytest.raises(NoReadableFileError):
+        scanned(spark, tmp_path)
+
+
+def test_missing_tokens_in_files(spark, tmp_path):
+    write(tmp_path, "a.csv", lines_of('2024-01-15,NA,"",N/A,-,null,None,nan,'))
+    found = rows(csv_files.ingest(spark, str(tmp_path)), *BUSINESS_COLUMNS)
+    assert found == [("2024-01-15", None, None, None, "-", None, None, None, None)]
+
+
+def test_records_over_many_splits_equal_a_sequential_reader(spark, tmp_path):
+    """Splits that begin anywhere, also inside quotes, against Python's csv module."""
+    rng = random.Random(5)
+    alphabet = ['a', '"', '\n', ',', 'é', '\r\n', 'bc', ' ', '""', '",', ',"']
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as f:
+        writer = csv.writer(f, lineterminator="\n")
+        writer.writerow(BUSINESS_COLUMNS)
+        for i in range(2000):
+            noise = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
+            writer.writerow(line(vendeur=f"v{i}", produit="x" + noise + "y"))
+        # Stray quotes inside unquoted fields, which csv.writer never emits.
+        for i in range(500):
+            f.write(PLAIN.replace("Alice Martin", f'w{i}').replace("Laptop Pro", 'Écran 27"') + "\n")
+    with open(tmp_path / "a.csv", newline="", encoding="utf-8") as f:
+        expected = sorted(tuple(r) for r in csv.reader(f))
+    expected.remove(tuple(BUSINESS_COLUMNS))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        scan = scanned(spark, tmp_path)
+        found = sorted(rows(scan.lines, *BUSINESS_COLUMNS))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(found) == 2500
+    assert found == expected
+
+
+# ------------------------------------------------------------ writers, run, stream
+
+
+def test_written_lines_come_back(spark, tmp_path):
+    texts = [line(produit=p) for p in ('27"', '"', "a,b", "a\nb", "  x ", "é")] + [line(region=None)]
+    schema = ", ".join(f"{c} string" for c in BUSINESS_COLUMNS)
+    sinks.write_csv(spark.createDataFrame(texts, schema), str(tmp_path / "out"))
+    found = rows(csv_files.ingest(spark, str(tmp_path / "out")), *BUSINESS_COLUMNS)
+    assert sorted(found, key=str) == sorted(texts, key=str)
+
+
+EXAMPLE = """2024-01-03,Claire,IDF,Suite,Logiciels,12,612.00,0.0,Livré
+2024-01-04,Alice,PACA,Laptop,Informatique,2,1243.50,10,livre
+2024-02-05,Bob,HDF,Routeur,Réseau,3,178.00,0.0,En cours
+2024-02-08,Claire,ARA,Suite,Logiciels,8,588.00,0.05,annule"""
+
+
+def check_reports(spark, out, done):
+    cards = dict(rows(sinks.read_report(spark, str(out), done.run_id, "kpi_cards"), "libelle", "valeur"))
+    # 12*612 + 2*1243.5*0.9 + 3*178 = 7344 + 2238.30 + 534
+    assert cards["CA Total"] == "10,116.30 EUR"
+    assert cards["Commandes"] == "3" and cards["Annulations"] == "1" and cards["Taux Annulation"] == "25.0 %"
+    months = sinks.read_report(spark, str(out), done.run_id, "mois").orderBy("annee", "mois")
+    assert rows(months, "mois_nom", "ca_total", "cumul") == [("Janvier", 9582.3, 9582.3), ("Février", 534.0, 10116.3)]
+
+
+def test_run(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    write(folder, "a.csv", HEADER + "\n" + EXAMPLE + "\n", "utf-8-sig")
+    write(folder, "b.csv", HEADER + "\n" + EXAMPLE.splitlines()[0] + "\n")
+    write(folder, "c.csv", HEADER + "\n" + PLAIN + ",x,y\n")
+    done = run.run(spark, str(folder), str(out), run_id="r1", period="T1 2024")
+    check_reports(spark, out, done)
+    again = run.run(spark, str(folder), str(out), run_id="r1", period="T1 2024")
+    check_reports(spark, out, again)
+    files = sinks.read_report(spark, str(out), "r1", "fichiers")
+    assert sorted(rows(files, "source_fichier", "lu", "periode")) == [
+        ("a.csv", True, "T1 2024"), ("b.csv", True, "T1 2024"), ("c.csv", False, "T1 2024")
+    ]
+    quality = {(s, c): n for s, c, n in rows(sinks.read_report(spark, str(out), "r1", "qualite"), "etape", "colonne", "nb")}
+    assert quality[("entree", None)] == 5 and quality[("doublons", None)] == 1
+
+
+@pytest.mark.parametrize("fmt", sinks.FORMATS)
+def test_formats(spark, tmp_path, fmt):
+    df = spark.createDataFrame([("a, \"b\"", 1.5)], "nom string, ca double")
+    sinks.write_reports({"x": df}, str(tmp_path), "r", fmt)
+    assert [(r["nom"], float(r["ca"])) for r in sinks.read_report(spark, str(tmp_path), "r", "x", fmt).collect()] == [("a, \"b\"", 1.5)]
+    with pytest.raises(ValueError):
+        sinks.write_reports({"x": df}, str(tmp_path), "r", "pdf")
+
+
+def test_stream_reads_only_new_files_and_equals_a_full_run(spark, tmp_path):
+    folder, table, marks = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "m")
+    folder.mkdir()
+    first, *others = EXAMPLE.splitlines()
+    write(folder, "a.csv", lines_of(first))
+    monthly.ingest_new_files(spark, str(folder), table, marks)
+    assert monthly.stored_lines(spark, table).count() == 1
+    write(folder, "b.csv", ",".join(reversed(BUSINESS_COLUMNS)) + ",note\n" + "\n".join(
+        ",".join(reversed(o.split(","))) + ",vu" for o in others) + "\n")
+    write(folder, "c.csv", lines_of(first))
+    write(folder, "d.csv", lines_of(first + ",x"))
+    monthly.ingest_new_files(spark, str(folder), table, marks, max_files_per_batch=1)
+    monthly.ingest_new_files(spark, str(folder), table, marks)
+    lines = monthly.stored_lines(spark, table)
+    assert sorted(rows(lines.groupBy("source_fichier").agg(F.count(F.lit(1))))) == [("a.csv", 1), ("b.csv", 3), ("c.csv", 1)]
+    out = tmp_path / "out"
+    check_reports(spark, out, run.report_raw(spark, lines, str(out), run_id="r"))
