@@ -12,7 +12,7 @@ from ..operators import analytics, cleaning, quality, reports
 from ..operators.measures import enrich
 from ..settings import SOURCE_COLUMN, Settings
 from ..sources.csv_files import Scan, as_raw, scan_csv
-from ..staging import materialise
+from ..staging import materialise, scratch
 from .sinks import write_reports
 
 
@@ -21,7 +21,7 @@ class Run:
     path: str
     run_id: str
     period: str
-    datasets: dict[str, DataFrame]
+    reports: tuple[str, ...]
 
 
 def transform(lines: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
@@ -65,10 +65,11 @@ def run(
 
     Raises FileNotFoundError without input, SalesDataError for unusable input.
     """
-    scan: Scan = scan_csv(spark, in_dir)
-    # The CSV text is parsed once; everything below reads columns.
-    raw = materialise(as_raw(scan.lines, settings), "raw")
-    return report_raw(spark, raw, out_dir, period, run_date, run_id, settings, fmt, scan.files)
+    with scratch(spark):
+        scan: Scan = scan_csv(spark, in_dir)
+        # The CSV text is parsed once; everything below reads columns.
+        raw = materialise(as_raw(scan.lines, settings), "raw")
+        return report_raw(spark, raw, out_dir, period, run_date, run_id, settings, fmt, scan.files)
 
 
 def report_raw(
@@ -85,16 +86,17 @@ def report_raw(
     """The run after ingest, over a stored table of raw lines (also that of the stream)."""
     run_id = run_id or datetime.now().strftime("%Y%m%d_%H%M%S")
     period = period or period_label(spark, run_date or date.today())
-    unique = cleaning.unique_lines(raw)
-    found = cleaning.medians(cleaning.drop_null_date(unique), settings)
-    results = transform(cleaning.clean_unique(unique, settings, found), settings)
-    datasets = {
-        **report_tables(results),
-        "qualite": quality.quality_report(raw, unique, found, settings),
-        "lignes_par_fichier": quality.file_counts(raw.select(SOURCE_COLUMN)),
-    }
-    if files is not None:
-        datasets["fichiers"] = files
-    datasets = {name: df.withColumn("periode", F.lit(period)) for name, df in datasets.items()}
-    path = write_reports(datasets, out_dir, run_id, fmt)
-    return Run(path, run_id, period, datasets)
+    with scratch(spark):
+        unique = cleaning.unique_lines(raw)
+        found = cleaning.medians(cleaning.drop_null_date(unique), settings)
+        results = transform(cleaning.clean_unique(unique, settings, found), settings)
+        datasets = {
+            **report_tables(results),
+            "qualite": quality.quality_report(raw, unique, found, settings),
+            "lignes_par_fichier": quality.file_counts(raw.select(SOURCE_COLUMN)),
+        }
+        if files is not None:
+            datasets["fichiers"] = files
+        datasets = {name: df.withColumn("periode", F.lit(period)) for name, df in datasets.items()}
+        path = write_reports(datasets, out_dir, run_id, fmt)
+    return Run(path, run_id, period, tuple(datasets))

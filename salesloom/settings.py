@@ -92,4 +92,8 @@ class MissingColumnsError(SalesDataError):
 
 
 class NoReadableFileError(SalesDataError):
-    """Every input file was set aside."""
+    """Every input file was set aside; ``files`` (a DataFrame, if known) says why."""
+
+    def __init__(self, message: str, files=None):
+        super().__init__(message)
+        self.files = files

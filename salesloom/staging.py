@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -38,5 +42,23 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
     target = path or staging_path(spark, name)
+    written = _WRITTEN.get()
+    if written is not None and path is None:
+        written.append(target)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the staging tables that the block wrote (and nothing else)."""
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for target in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(target)
+            path.getFileSystem(conf).delete(path, True)

@@ -9,11 +9,12 @@ whole, so cleaning and reports are recomputed from the stored lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import normalise_na
 from ..settings import NoReadableFileError, Settings
-from ..sources.csv_files import plain_name, scan_files, validate_columns
+from ..sources.csv_files import scan_files, validate_columns
+from ..staging import scratch
 
 _FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -33,14 +34,16 @@ def ingest_new_files(
         paths = [r["path"] for r in batch.collect()]
         if not paths:
             return
-        try:
-            scan = scan_files(batch.sparkSession, paths)
-        except NoReadableFileError:
-            return
-        scan.files.write.mode("overwrite").parquet(f"{table_dir}/fichiers/lot={batch_id}")
-        normalise_na(scan.lines, settings).write.mode("overwrite").parquet(
-            f"{table_dir}/lignes/lot={batch_id}"
-        )
+        with scratch(batch.sparkSession):
+            try:
+                scan = scan_files(batch.sparkSession, paths)
+                normalise_na(scan.lines, settings).write.mode("overwrite").parquet(
+                    f"{table_dir}/lignes/lot={batch_id}"
+                )
+                files = scan.files
+            except NoReadableFileError as error:
+                files = error.files
+            files.write.mode("overwrite").parquet(f"{table_dir}/fichiers/lot={batch_id}")
 
     query = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)

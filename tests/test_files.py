@@ -256,3 +256,24 @@ def test_stream_reads_only_new_files_and_equals_a_full_run(spark, tmp_path):
     assert sorted(rows(lines.groupBy("source_fichier").agg(F.count(F.lit(1))))) == [("a.csv", 1), ("b.csv", 3), ("c.csv", 1)]
     out = tmp_path / "out"
     check_reports(spark, out, run.report_raw(spark, lines, str(out), run_id="r"))
+
+
+def test_a_run_leaves_no_staging_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from salesloom.staging import staging_root
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    write(folder, "a.csv", lines_of(PLAIN, PLAIN.replace("Laptop Pro", '"a\nb"')))
+    before = set(Path(staging_root(spark)).iterdir())
+    run.run(spark, str(folder), str(out), run_id="r")
+    assert set(Path(staging_root(spark)).iterdir()) == before
+
+
+def test_stream_of_bad_files_only(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "t")
+    folder.mkdir()
+    write(folder, "a.csv", lines_of(PLAIN, PLAIN + ",x"))
+    monthly.ingest_new_files(spark, str(folder), table, str(tmp_path / "m"))
+    assert rows(monthly.stored_files(spark, table), "source_fichier", "raison") == [("a.csv", csv_files.WIDE_ROWS)]
