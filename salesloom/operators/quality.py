@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import date_or_null
 from ..settings import NUMERIC_COLUMNS, SOURCE_COLUMN, TEXT_COLUMNS, UNKNOWN, Settings
+from ..staging import materialise
 from .cleaning import UNREADABLE_SUFFIX
-from .reports import report_groups
+from .reports import CELLS, ITEMS, MONTHS, grain, group_totals, report_groups
 
 
 def file_counts(raw: DataFrame) -> DataFrame:
@@ -85,18 +88,21 @@ def quality_report(
 
 
 def reconcile(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Sum of each un-truncated grouping against the grand total, in one pass over the lines."""
-    groups = report_groups(df, settings).filter(
-        F.col("grain").isin("", "vendeur", "region", "categorie", "produit", "annee+mois+mois_nom")
+    """Sum of each un-truncated grouping against the total over the lines."""
+    groups = materialise(report_groups(df, settings), "groups")
+    total = df.agg(F.sum("ca_comptabilise").alias("total"))
+    axes = {"mois": MONTHS, "vendeur": CELLS, "region": CELLS, "categorie": ITEMS, "produit": ITEMS}
+    sums = reduce(
+        DataFrame.unionByName,
+        [
+            group_totals(grain(groups, keys), axis)
+            .agg(F.sum(F.col("ca_total").cast("decimal(27,2)")).alias("somme"))
+            .select(F.lit(axis).alias("axe"), "somme")
+            for axis, keys in axes.items()
+        ],
     )
-    totals = groups.groupBy("grain").agg(F.sum("ca_comptabilise").alias("somme"))
-    grand = F.max(F.when(F.col("grain") == "", F.col("somme")))
-    pairs = totals.agg(
-        grand.alias("total"),
-        F.collect_list(F.struct("grain", "somme")).alias("sommes"),
-    ).select("total", F.inline("sommes"))
-    return pairs.filter(F.col("grain") != "").select(
-        F.when(F.col("grain") == "annee+mois+mois_nom", "mois").otherwise(F.col("grain")).alias("axe"),
+    return sums.withColumn("total", total.scalar()).select(
+        "axe",
         F.col("somme").cast("double").alias("somme"),
         F.col("total").cast("double").alias("total"),
         (F.col("somme") - F.col("total")).cast("double").alias("ecart"),

@@ -159,27 +159,29 @@ def heatmap_wide(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     ).orderBy("vendeur")
 
 
+# The three groupings that every other one can be summed from.
+MONTHS = ("annee", "mois", "mois_nom")
+CELLS = ("vendeur", "region")
+ITEMS = ("categorie", "produit")
+
+
 def report_groups(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """All report groupings in one pass over the lines.
+    """Everything the reports need, in one pass over the lines.
 
-    Seven reports read as seven scans otherwise. GROUPING SETS expands each
-    line inside codegen and aggregates partially before the only shuffle, whose
-    size is the number of groups, not of lines.
+    Read one by one, the reports scan the lines seven times. GROUPING SETS over
+    three grains expands each line inside codegen and aggregates partially
+    before the only shuffle, whose size is the number of groups, not of lines.
+    All coarser groupings and the totals are sums of these small groups.
     """
     out = is_excluded(F.col("statut"), settings)
     n = _lines(df)
+    keys = [*MONTHS, *CELLS, *ITEMS]
     slim = df.select(
-        "annee", "mois", "mois_nom", "vendeur", "region", "categorie", "produit",
-        "ca_comptabilise", "remise_euros",
+        *keys, "ca_comptabilise", "remise_euros",
         F.when(~out, n).otherwise(0).alias("active"),
         F.when(out, n).otherwise(0).alias("out"),
     )
-    sets = [
-        ["annee", "mois", "mois_nom"], ["vendeur"], ["region"], ["categorie"], ["produit"],
-        ["vendeur", "region"], [],
-    ]
-    keys = ["annee", "mois", "mois_nom", "vendeur", "region", "categorie", "produit"]
-    return slim.groupingSets(sets, *keys).agg(
+    return slim.groupingSets([list(MONTHS), list(CELLS), list(ITEMS)], *keys).agg(
         F.concat_ws("+", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys]).alias("grain"),
         F.sum("ca_comptabilise").alias("ca_comptabilise"),
         F.sum("remise_euros").alias("remise_euros"),
@@ -188,30 +190,34 @@ def report_groups(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
+def grain(groups: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return groups.filter(F.col("grain") == "+".join(keys))
+
+
 def reports_from_groups(
     groups: DataFrame, settings: Settings = Settings()
 ) -> dict[str, DataFrame]:
     """The seven result tables out of a stored :func:`report_groups`."""
+    months, cells, items = (grain(groups, keys) for keys in (MONTHS, CELLS, ITEMS))
 
-    def grain(*keys: str) -> DataFrame:
-        return groups.filter(F.col("grain") == "+".join(keys))
+    def total(column: str) -> Column:
+        of_months = F.when(F.col("grain") == "+".join(MONTHS), F.col(column))
+        return F.coalesce(F.sum(of_months), F.lit(0))
 
-    # Distinct counts are the numbers of non-NULL groups: no second pass over lines.
     figures = groups.agg(
-        F.coalesce(F.max(F.when(F.col("grain") == "", F.col("ca_comptabilise"))), F.lit(0)).alias("ca"),
-        F.coalesce(F.max(F.when(F.col("grain") == "", F.col("active"))), F.lit(0)).alias("active"),
-        F.coalesce(F.max(F.when(F.col("grain") == "", F.col("out"))), F.lit(0)).alias("out"),
-        F.coalesce(F.max(F.when(F.col("grain") == "", F.col("remise_euros"))), F.lit(0)).alias("discount"),
-        F.count(F.when((F.col("grain") == "vendeur") & F.col("vendeur").isNotNull(), 1)).alias("nb_vendeurs"),
-        F.count(F.when((F.col("grain") == "produit") & F.col("produit").isNotNull(), 1)).alias("nb_produits"),
+        total("ca_comptabilise").alias("ca"),
+        total("active").alias("active"),
+        total("out").alias("out"),
+        total("remise_euros").alias("discount"),
+        F.count_distinct(F.when(F.col("grain") == "+".join(CELLS), F.col("vendeur"))).alias("nb_vendeurs"),
+        F.count_distinct(F.when(F.col("grain") == "+".join(ITEMS), F.col("produit"))).alias("nb_produits"),
     )
-    cells = _booked(grain("vendeur", "region"), "vendeur", "region")
     return {
         "kpis": kpi_figures(figures),
-        "par_vendeur": top_vendors(grain("vendeur"), settings.top_vendors),
-        "par_mois": by_month(grain("annee", "mois", "mois_nom")),
-        "par_categorie": by_category(grain("categorie")),
-        "par_region": by_region(grain("region")),
-        "heatmap": heatmap_wide(groups, cells),
-        "top_produits": top_products(grain("produit"), settings.top_products),
+        "par_vendeur": top_vendors(cells, settings.top_vendors),
+        "par_mois": by_month(months),
+        "par_categorie": by_category(items),
+        "par_region": by_region(cells),
+        "heatmap": heatmap_wide(cells, _booked(cells, *CELLS)),
+        "top_produits": top_products(items, settings.top_products),
     }

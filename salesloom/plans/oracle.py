@@ -244,7 +244,7 @@ SELECT annee, mois, mois_nom, vendeur, region, categorie, produit,
   count(*) FILTER (WHERE statut NOT IN ('Annulé', 'Retourné')) AS active,
   count(*) FILTER (WHERE statut IN ('Annulé', 'Retourné')) AS "out"
 FROM enriched
-GROUP BY GROUPING SETS ((annee, mois, mois_nom), (vendeur), (region), (categorie), (produit), (vendeur, region), ())""",
+GROUP BY GROUPING SETS ((annee, mois, mois_nom), (vendeur, region), (categorie, produit))""",
           "enriched")
 
 # ---------------------------------------------------------------- analytic columns
