@@ -139,6 +139,8 @@ def test_only_the_folder_itself_is_read(spark, tmp_path):
     write(tmp_path, "b.CSV", lines_of(PLAIN))
     (tmp_path / "annee=2024").mkdir()
     write(tmp_path / "annee=2024", "c.csv", lines_of(PLAIN))
+    (tmp_path / "export.csv").mkdir()
+    write(tmp_path / "export.csv", "d.csv", lines_of(PLAIN))
     assert rows(scanned(spark, tmp_path).lines, "source_fichier") == [("a.csv",)]
 
 
