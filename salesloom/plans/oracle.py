@@ -407,7 +407,8 @@ _register("union_files", f"""
 SELECT {_FEED}, CAST(NULL AS VARCHAR) AS commentaire FROM raw WHERE {_FIRST}
 UNION ALL SELECT * REPLACE (CAST(NULL AS VARCHAR) AS remise), upper(produit) FROM (
   SELECT {_FEED} FROM raw WHERE NOT {_FIRST})""", "raw")
-_register("provenance", "SELECT count(*) AS nb_lignes, 0 AS nb_ecarts, 0 AS nb_noms_faux FROM raw", "raw")
+_register("provenance", """
+SELECT count(*) AS nb_lignes, CAST(0 AS BIGINT) AS nb_ecarts, CAST(0 AS BIGINT) AS nb_noms_faux FROM raw""", "raw")
 _register("quarantine_files", f"""
 SELECT 'lues' AS etat, count(*) AS nb FROM raw WHERE {_FIRST}
 UNION ALL SELECT 'fautives', count(*) FROM raw WHERE NOT {_FIRST} AND statut = 'Livré'""", "raw")

@@ -7,7 +7,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.labels import current_period_label
+from ..functions.labels import current_period_label, previous_period_label
 from ..operators import analytics, cleaning, quality, reports
 from ..operators.measures import enrich
 from ..settings import SOURCE_COLUMN, Settings
@@ -47,8 +47,10 @@ def report_tables(results: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def period_label(spark: SparkSession, run_date: date) -> str:
-    return spark.range(1).select(current_period_label(F.lit(run_date))).first()[0]
+def period_label(spark: SparkSession, run_date: date, scheduled: bool = False) -> str:
+    """Label of a run: its month, or the month before for a scheduled monthly run."""
+    label = previous_period_label if scheduled else current_period_label
+    return spark.range(1).select(label(F.lit(run_date))).first()[0]
 
 
 def run(

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as contract
 from salesloom.settings import BUSINESS_COLUMNS
 from salesloom.sources.star import sales, table
+from helpers import plan
 from tools.check_oracle import canonical
 
 
@@ -26,6 +27,9 @@ def test_query_equals_its_sql_twin(spark, sql, sf_dir, name):
     columns = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert canonical(df.collect(), df.columns) == canonical(result.fetchall(), columns)
+    text = plan(df)
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas", "MapInArrow"):
+        assert node not in text
 
 
 def test_entry(spark, sf_dir):

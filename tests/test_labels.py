@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesloom.functions import labels
+from salesloom.plans.run import period_label
 
 
 def text(spark, fn, value, kind="double"):
@@ -37,3 +38,8 @@ def test_periods(spark):
     assert text(spark, labels.current_period_label, dt.date(2024, 8, 31), "date") == "Août 2024"
     assert text(spark, labels.previous_period_label, dt.date(2024, 1, 1), "date") == "Decembre 2023"
     assert text(spark, labels.previous_period_label, dt.date(2024, 3, 31), "date") == "Fevrier 2024"
+
+
+def test_period_of_a_run(spark):
+    assert period_label(spark, dt.date(2024, 2, 1)) == "Février 2024"
+    assert period_label(spark, dt.date(2024, 1, 1), scheduled=True) == "Decembre 2023"
