@@ -31,13 +31,23 @@ def distinct_discounts(df: DataFrame) -> DataFrame:
     return df.select("remise").distinct().orderBy("remise")
 
 
+def count_lines(raw: DataFrame) -> DataFrame:
+    return raw.agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_lines_of_files(files: DataFrame) -> DataFrame:
+    """The same figure out of the folder scan's description, without reading a line again."""
+    return files.filter("lu").agg(F.coalesce(F.sum("nb_lignes"), F.lit(0)).alias("n"))
+
+
 def quality_report(
-    raw: DataFrame, unique: DataFrame, medians: dict[str, float | None], settings: Settings = Settings()
+    n_raw: DataFrame, unique: DataFrame, medians: dict[str, float | None], settings: Settings = Settings()
 ) -> DataFrame:
     """(step, column, rows concerned, value put in) in the order of the chain.
 
     ``unique`` is the stored table of unique lines; one aggregate over it gives
-    every figure, and the raw count is a scalar subquery of the same query.
+    every figure. ``n_raw`` holds the number of raw lines (one row, one column)
+    and becomes a scalar subquery.
     """
     dated = F.col("date").isNotNull()
     readable = date_or_null(F.col("date"), settings.date_formats).isNotNull()
@@ -53,8 +63,7 @@ def quality_report(
         bad = F.col(c + UNREADABLE_SUFFIX).isNotNull()
         counts[f"null_{c}"] = F.count_if(dated & F.col(c).isNull() & ~bad)
         counts[f"bad_{c}"] = F.count_if(dated & bad)
-    n_raw = raw.agg(F.count(F.lit(1)).alias("n")).scalar()
-    figures = unique.agg(*[e.alias(k) for k, e in counts.items()]).withColumn("raw", n_raw)
+    figures = unique.agg(*[e.alias(k) for k, e in counts.items()]).withColumn("raw", n_raw.scalar())
 
     def text(value):
         return F.lit(None if value is None else float(value)).cast("double").cast("string")

@@ -114,12 +114,11 @@ def heatmap_long(spark, d):
 
 
 @query
-def heatmap_sparse_days(spark, d):
-    """The dense cross-tab over the first days, where most cells are empty."""
-    early = _lines(spark, d, "date", "vendeur", "region").filter(
-        F.col("date") < F.lit("1995-01-12").cast("date")
-    )
-    return reports.heatmap_long(early)
+def heatmap_empty_cells(spark, d):
+    """The dense cross-tab per salesperson and month, where many cells are empty."""
+    lines = _lines(spark, d, "date", "vendeur", "region")
+    monthly_teams = F.concat_ws(" ", "vendeur", F.date_format("date", "yyyy-MM"))
+    return reports.heatmap_long(lines.withColumn("vendeur", monthly_teams))
 
 
 @query
@@ -371,7 +370,7 @@ def quality_report(spark, d):
     raw = raw_sales(spark, d)
     unique = cleaning.unique_lines(raw)
     found = cleaning.medians(cleaning.drop_null_date(unique))
-    return quality.quality_report(raw, unique, found)
+    return quality.quality_report(quality.count_lines(raw), unique, found)
 
 
 @query
@@ -498,15 +497,14 @@ def provenance(spark, d):
 
 @query
 def quarantine_files(spark, d):
-    """The later drop has surplus fields in the lines of one status; its files go aside whole."""
+    """The later drop has a surplus field in every line; its files go aside whole."""
     folder = staging_path(spark, "csv")
     first, second = _halves(spark, d)
     sinks.write_csv(first, folder)
-    fields = [F.coalesce(F.col(c), F.lit("")) for c in BUSINESS_COLUMNS]
-    line = F.concat_ws(",", *fields, F.when(F.col("statut") == "Livré", "surplus"))
+    line = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in BUSINESS_COLUMNS], F.lit("surplus"))
     # One text column named like the header line: the writer puts it on top of every file.
     (
-        second.filter(F.col("statut") == "Livré").select(line.alias(",".join(BUSINESS_COLUMNS)))
+        second.select(line.alias(",".join(BUSINESS_COLUMNS)))
         .write.mode("append").option("header", True).option("sep", "\u0001").option("quote", "\u0000")
         .csv(folder)
     )

@@ -214,17 +214,18 @@ _register("by_category", "SELECT * FROM by_categorie ORDER BY ca_total DESC, cat
 _register("by_region", "SELECT * FROM by_region ORDER BY ca_total DESC, region", "by_region")
 
 
-def _heat(condition):
+def _heat(person):
     return f"""
 SELECT v.vendeur, r.region, CAST(coalesce(sum(c.ca_comptabilise), 0) AS DOUBLE) AS ca_total
-FROM (SELECT DISTINCT vendeur FROM enriched WHERE {condition}) v
-CROSS JOIN (SELECT DISTINCT region FROM enriched WHERE {condition}) r
-LEFT JOIN (SELECT * FROM enriched WHERE {condition}) c ON c.vendeur = v.vendeur AND c.region = r.region
+FROM (SELECT DISTINCT {person} AS vendeur FROM enriched) v
+CROSS JOIN (SELECT DISTINCT region FROM enriched) r
+LEFT JOIN (SELECT {person} AS vendeur, region, ca_comptabilise FROM enriched) c
+  ON c.vendeur = v.vendeur AND c.region = r.region
 GROUP BY 1, 2"""
 
 
-_register("heatmap_long", _heat("TRUE"), "enriched")
-_register("heatmap_sparse_days", _heat("date < DATE '1995-01-12'"), "enriched")
+_register("heatmap_long", _heat("vendeur"), "enriched")
+_register("heatmap_empty_cells", _heat("vendeur || ' ' || strftime(date, '%Y-%m')"), "enriched")
 _register("heatmap_wide", "SELECT vendeur, " + ", ".join(
     f"CAST(coalesce(sum(ca_comptabilise) FILTER (WHERE region = '{r}'), 0) AS DOUBLE) AS \"{r}\""
     for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -411,7 +412,7 @@ _register("provenance", """
 SELECT count(*) AS nb_lignes, CAST(0 AS BIGINT) AS nb_ecarts, CAST(0 AS BIGINT) AS nb_noms_faux FROM raw""", "raw")
 _register("quarantine_files", f"""
 SELECT 'lues' AS etat, count(*) AS nb FROM raw WHERE {_FIRST}
-UNION ALL SELECT 'fautives', count(*) FROM raw WHERE NOT {_FIRST} AND statut = 'Livré'""", "raw")
+UNION ALL SELECT 'fautives', count(*) FROM raw WHERE NOT {_FIRST}""", "raw")
 _register("csv_roundtrip", f"""
 SELECT date, vendeur, region, produit, categorie, quantite, {_AMOUNTS}, statut, annee, mois FROM enriched""", "enriched")
 ORACLE["write_reports"] = ORACLE["kpi_cards"]

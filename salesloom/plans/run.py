@@ -69,8 +69,7 @@ def run(
     """
     with scratch(spark):
         scan: Scan = scan_csv(spark, in_dir)
-        # The CSV text is parsed once; everything below reads columns.
-        raw = materialise(as_raw(scan.lines, settings), "raw")
+        raw = as_raw(scan.lines, settings)
         return report_raw(spark, raw, out_dir, period, run_date, run_id, settings, fmt, scan.files)
 
 
@@ -85,19 +84,24 @@ def report_raw(
     fmt: str = "parquet",
     files: DataFrame | None = None,
 ) -> Run:
-    """The run after ingest, over a stored table of raw lines (also that of the stream)."""
+    """The run after ingest, over raw lines (also those stored by the stream).
+
+    With ``files``, the description of the folder scan, the raw lines are read
+    exactly once, by the deduplication; line counts come from the description.
+    """
     run_id = run_id or datetime.now().strftime("%Y%m%d_%H%M%S")
     period = period or period_label(spark, run_date or date.today())
     with scratch(spark):
         unique = cleaning.unique_lines(raw)
         found = cleaning.medians(cleaning.drop_null_date(unique), settings)
         results = transform(cleaning.clean_unique(unique, settings, found), settings)
-        datasets = {
-            **report_tables(results),
-            "qualite": quality.quality_report(raw, unique, found, settings),
-            "lignes_par_fichier": quality.file_counts(raw.select(SOURCE_COLUMN)),
-        }
-        if files is not None:
+        datasets = report_tables(results)
+        if files is None:
+            datasets["qualite"] = quality.quality_report(quality.count_lines(raw), unique, found, settings)
+            datasets["lignes_par_fichier"] = quality.file_counts(raw.select(SOURCE_COLUMN))
+        else:
+            n_raw = quality.count_lines_of_files(files)
+            datasets["qualite"] = quality.quality_report(n_raw, unique, found, settings)
             datasets["fichiers"] = files
         datasets = {name: df.withColumn("periode", F.lit(period)) for name, df in datasets.items()}
         path = write_reports(datasets, out_dir, run_id, fmt)

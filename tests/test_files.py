@@ -279,3 +279,13 @@ def test_stream_of_bad_files_only(spark, tmp_path):
     write(folder, "a.csv", lines_of(PLAIN, PLAIN + ",x"))
     monthly.ingest_new_files(spark, str(folder), table, str(tmp_path / "m"))
     assert rows(monthly.stored_files(spark, table), "source_fichier", "raison") == [("a.csv", csv_files.WIDE_ROWS)]
+
+
+def test_awkward_extra_columns_survive_the_chain(spark, tmp_path):
+    from salesloom.operators.cleaning import clean
+
+    header = HEADER + ',note.1,"a,b;c (x)=",,Note\n'
+    write(tmp_path, "a.csv", header + PLAIN + ",1,2,3,4\n" + PLAIN + ",5,6,7,8\n")
+    write(tmp_path, "b.csv", header + PLAIN + ",9,9,9,9\n")
+    found = clean(csv_files.ingest(spark, str(tmp_path)))
+    assert rows(found, "`note.1`", "`a,b;c (x)=`", "`Unnamed: 11`", "Note", "source_fichier") == [("1", "2", "3", "4", "a.csv")]

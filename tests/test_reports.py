@@ -216,7 +216,7 @@ def test_quality_report(spark):
     report = {
         (step, column): (n, value)
         for step, column, n, value in rows(
-            quality.quality_report(raw, unique, found), "etape", "colonne", "nb", "valeur"
+            quality.quality_report(quality.count_lines(raw), unique, found), "etape", "colonne", "nb", "valeur"
         )
     }
     assert report[("entree", None)] == (5, None)
