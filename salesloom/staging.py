@@ -21,10 +21,10 @@ _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 def staging_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only on a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId

@@ -289,3 +289,11 @@ def test_awkward_extra_columns_survive_the_chain(spark, tmp_path):
     write(tmp_path, "b.csv", header + PLAIN + ",9,9,9,9\n")
     found = clean(csv_files.ingest(spark, str(tmp_path)))
     assert rows(found, "`note.1`", "`a,b;c (x)=`", "`Unnamed: 11`", "Note", "source_fichier") == [("1", "2", "3", "4", "a.csv")]
+
+
+def test_blank_lines_before_the_header(spark, tmp_path):
+    write(tmp_path, "a.csv", "\n  \n" + lines_of(PLAIN))
+    write(tmp_path, "b.csv", "\n" + lines_of(PLAIN.replace("Laptop Pro", '"a\n\n\nb"')))
+    found = scanned(spark, tmp_path)
+    assert sorted(rows(found.lines, "date", "produit")) == [("2024-01-15", "Laptop Pro"), ("2024-01-15", "a\n\n\nb")]
+    assert {tuple(r) for r in rows(found.files, "nb_lignes", "lu")} == {(1, True)}
