@@ -297,3 +297,19 @@ def test_blank_lines_before_the_header(spark, tmp_path):
     found = scanned(spark, tmp_path)
     assert sorted(rows(found.lines, "date", "produit")) == [("2024-01-15", "Laptop Pro"), ("2024-01-15", "a\n\n\nb")]
     assert {tuple(r) for r in rows(found.files, "nb_lignes", "lu")} == {(1, True)}
+
+
+@pytest.mark.parametrize("max_left_out", [0, 1, 1000])
+def test_headers_and_bad_files_mixed(spark, tmp_path, monkeypatch, max_left_out):
+    monkeypatch.setattr(csv_files, "MAX_LEFT_OUT", max_left_out)
+    for i in range(4):
+        write(tmp_path, f"même en-tête {i}.csv", lines_of(PLAIN, PLAIN))
+    write(tmp_path, "autre ordre.csv", ",".join(reversed(BUSINESS_COLUMNS)) + "\n" + ",".join(reversed(VALID)) + "\n")
+    write(tmp_path, "large.csv", lines_of(PLAIN + ",x"))
+    write(tmp_path, "sauts.csv", lines_of(PLAIN.replace("Laptop Pro", '"Laptop Pro"').replace("Alice", '"Alice\n"'), PLAIN))
+    write(tmp_path, "vide.csv", "")
+    scan = scanned(spark, tmp_path)
+    counts = dict(rows(scan.lines.groupBy("source_fichier").agg(F.count(F.lit(1)))))
+    assert counts == {**{f"même en-tête {i}.csv": 2 for i in range(4)}, "autre ordre.csv": 1, "sauts.csv": 2}
+    assert {r[0] for r in rows(scan.lines, "produit")} == {"Laptop Pro"}
+    assert set(aside(scan)) == {"large.csv", "vide.csv"}
