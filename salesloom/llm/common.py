@@ -6,7 +6,11 @@ folder in ``spark.checkpoint.dir`` (see :mod:`salesloom.staging`).
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -16,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..staging import materialise as stage
 
 __all__ = [
-    "WordHashes", "blockwise", "components", "join_hot", "match_pairs", "ranked", "stage",
+    "WordHashes", "blockwise", "components", "join_hot", "match_pairs", "ranked", "ship", "stage",
     "table", "text_key", "words_of",
 ]
 
@@ -30,6 +34,21 @@ HOT_KEYS = 1000
 SALTS = 16
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as ``--py-files`` would."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="py-files-"))  # the driver's own copy
+        spark.sparkContext.addPyFile(shutil.make_archive(
+            f"{folder}/{package.name}", "zip", package.parent, package.name
+        ))
+        _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
-from .common import table
+from . import jaccard, mixing, packing, sharding, toxicity
+from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,10 +16,43 @@ ORACLE: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
 def op1_toxicity(spark, d):
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op8_mixing(spark, d):
+    mixed = mixing.in_training_order(mixing.mix(table(spark, d, "documents")))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", "position"
+    )
+
+
+@query
+def op9_packing(spark, d):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.pieces(table(spark, d, "documents"), path))
+
+
+@query
+def op10_sharding(spark, d):
+    return sharding.shard(table(spark, d, "documents"))
+
+
+@query
+def op2_jaccard_join(spark, d):
+    return jaccard.join(table(spark, d, "documents")).select(
+        "doc_id", "class_id", "n_links", "kept"
+    )
