@@ -9,18 +9,20 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..staging import materialise as stage
 
 __all__ = [
-    "WordHashes", "blockwise", "components", "join_hot", "match_pairs", "ranked", "ship", "stage",
+    "WordHashes", "blockwise", "components", "extend", "join_hot", "match_pairs", "ranked", "ship", "stage",
     "table", "text_key", "words_of",
 ]
 
@@ -63,6 +65,48 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text"))
 
 
+def extend(
+    df: DataFrame, column: str, make: Callable[[], Callable[[object], tuple]], added: str
+) -> DataFrame:
+    """Replace ``column`` by the columns ``added`` that a function makes of its value.
+
+    ``make`` is called once per task and returns the function; the other columns pass
+    through untouched, whatever they hold. Batches are halved down to pieces of a few
+    megabytes, so long values need little memory beside their own size.
+    """
+    kept = [f for f in df.schema if f.name != column]
+    new = StructType.fromDDL(added)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            for part in _parts(batch):
+                rows = [function(value.as_py()) for value in part.column(column)]
+                values = zip(*rows, strict=True) if rows else [()] * len(new)
+                arrays = [part.column(f.name) for f in kept]
+                arrays += [pa.array(v, t) for v, t in zip(values, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    types = [_ARROW[f.dataType.simpleString()] for f in new]
+    names = [f.name for f in kept] + new.names
+    return df.mapInArrow(each, StructType([*kept, *new]))
+
+
+_ARROW = {
+    "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
+    "binary": pa.binary(),
+}
+
+
+def _parts(batch: pa.RecordBatch, limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows <= 1 or batch.nbytes <= limit:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from _parts(batch.slice(0, half), limit)
+        yield from _parts(batch.slice(half), limit)
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, remembered for the most recent ``limit`` words."""
 

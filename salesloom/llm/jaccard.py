@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import (
-    BLOCK, WordHashes, _salted, blockwise, components, join_hot, match_pairs, stage, text_key,
-    words_of,
+    BLOCK, WordHashes, _salted, blockwise, components, extend, join_hot, match_pairs, stage,
+    text_key, words_of,
 )
 
 SHINGLE_WORDS = 5
@@ -35,7 +35,6 @@ MARGIN = 4.5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _COINS = np.random.default_rng(20_240_117).integers(1, 2**32, (2, COORDINATES), np.uint32)
-SETS = "doc_id long, dk long, th long, digest binary, size long, sketch binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,20 +106,21 @@ def _matrix(cells: pd.Series, kind: type) -> np.ndarray:
 
 
 def _represent(docs: DataFrame) -> DataFrame:
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         hashes = WordHashes()
-        for frame in frames:
-            digests, sizes, sketches = [], [], []
-            for text in frame.pop("text"):
-                tokens = shingles(hashes.array(words_of(text)))
-                sizes.append(len(tokens))
-                digests.append(
-                    xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
-                )
-                sketches.append(sketch(tokens).tobytes() if len(tokens) else None)
-            yield frame.assign(digest=digests, size=sizes, sketch=sketches)
 
-    return docs.select("doc_id", "dk", "th", "text").mapInPandas(each, SETS)
+        def represented(text):
+            tokens = shingles(hashes.array(words_of(text)))
+            if not len(tokens):
+                return None, 0, None
+            return xxhash.xxh3_128_digest(tokens.tobytes()), len(tokens), sketch(tokens).tobytes()
+
+        return represented
+
+    return extend(
+        docs.select("doc_id", "dk", "th", "text"), "text", make,
+        "digest binary, size long, sketch binary",
+    )
 
 
 def _grow(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -208,19 +208,14 @@ def _similar_sets(threshold: float):
 def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The whole shingle sets of the sets in ``wanted``, read again from their documents."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         hashes = WordHashes()
-        for frame in frames:
-            texts = frame.pop("text")
-            yield frame.assign(
-                payload=[shingles(hashes.array(words_of(t))).tobytes() for t in texts]
-            )
+        return lambda text: (shingles(hashes.array(words_of(text))).tobytes(),)
 
     # Repeated rows of one doc_id and text are the same set once.
     texts = docs.select("dk", "th", "text").join(wanted, ["dk", "th"])
-    return texts.dropDuplicates(["dk", "th"]).select(
-        "gid", "id", "weight", "text"
-    ).mapInPandas(each, "gid long, id long, weight long, payload binary")
+    distinct = texts.dropDuplicates(["dk", "th"]).select("gid", "id", "weight", "text")
+    return extend(distinct, "text", make, "payload binary")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

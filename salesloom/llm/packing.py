@@ -15,8 +15,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from .common import ranked, stage
 
@@ -70,25 +70,23 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 204
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
-                ids = own.ids(text) + end
+            for i, text in enumerate(batch.column("text")):
+                ids = own.ids(text.as_py()) + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start:4 * (start + capacity)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
-            yield _frame(rows)
-
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
-
+                    rows.append((i, start, len(part) // 4, zlib.crc32(part), n))
+            columns = np.array(rows, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(columns[0])), *map(pa.array, columns[1:])],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+            )
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-    ids = pd.array([None if x != x or x is None else int(x) for x in frame["doc_id"]], "Int64")
-    return frame.assign(doc_id=ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -140,20 +138,19 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     where = cut.sparkSession.sparkContext.broadcast(slots(plan(histogram, capacity)))
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    span = max([1, *histogram.values()])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = where.value
-        span = int(table[:, 1].max(initial=0)) + 1 if len(table) else 1
-        span = max(span, max(histogram.values(), default=1))
         keys = table[:, 0] * span + table[:, 1]
-        for frame in frames:
-            rank = frame.pop("rank").to_numpy(np.int64)
-            at = np.searchsorted(
-                keys, frame["length"].to_numpy(np.int64) * span + rank, side="right"
-            ) - 1
-            yield frame.assign(
-                sequence_id=table[at, 2] + rank - table[at, 1], offset=table[at, 3]
-            )
-
-    return ranked(cut, ["length"], order, "rank").select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"
-    ).mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+            at = np.searchsorted(keys, length * span + rank, side="right") - 1
+            arrays = [batch.column(c) for c in columns]
+            arrays += [pa.array(table[at, 2] + rank - table[at, 1]), pa.array(table[at, 3])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "sequence_id", "offset"])
+
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    return ranked(cut, ["length"], order, "rank").select(*columns, "rank").mapInArrow(
+        place, f"{PIECES}, sequence_id long, offset long"
+    )

@@ -7,7 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, sharding, toxicity
+from . import (
+    embeddings, jaccard, language, mixing, packing, pages, sharding, substrings, topk, toxicity,
+)
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +58,49 @@ def op2_jaccard_join(spark, d):
     return jaccard.join(table(spark, d, "documents")).select(
         "doc_id", "class_id", "n_links", "kept"
     )
+
+
+@query
+def op4_topk(spark, d):
+    return topk.search(table(spark, d, "embeddings"))
+
+
+ORACLE["op4_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER
+        AS rank
+    FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query
+def op7_embedding_dedup(spark, d):
+    return embeddings.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query
+def op3_html_extraction(spark, d):
+    return pages.extract(table(spark, d, "pages"))
+
+
+@query
+def op5_language_id(spark, d):
+    return language.language(table(spark, d, "documents"))
+
+
+@query
+def op6_substring_dedup(spark, d):
+    return substrings.repeats(table(spark, d, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )

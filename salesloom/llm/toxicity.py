@@ -17,10 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .common import extend
+
 #: Labelled documents that are fitted on, per class: half train the dictionaries and half
 #: set the thresholds. The documented bound of the sample.
 SAMPLE_PER_CLASS = 2_400
@@ -32,7 +34,6 @@ BASE_BYTES, OWN_BYTES = 112 << 10, 4 << 10
 STEPS = (2, 4)
 #: zstd needs some bytes after the last match; every window gets the same ones.
 TAIL = b" ........ "
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _WORD = re.compile(r"\w+")
 
@@ -208,17 +209,30 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for frame in frames:
-            found = [own.score(t) for t in frame["text"]]
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": found,
-                "predicted": [int(s >= 0.5) for s in found],
-            })
+    def make():
+        def scored(text):
+            value = shared.value.score(text)
+            return value, int(value >= 0.5)
+
+        return scored
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInPandas(scored, SCHEMA)
+    return extend(
+        docs.select("doc_id", "text", held_out.alias("held_out")), "text", make,
+        "score double, predicted int",
+    )
+
+
+def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all columns, that are not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [shared.value.score(t.as_py()) < 0.5 for t in batch.column("text")]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
