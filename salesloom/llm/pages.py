@@ -22,6 +22,8 @@ BLOCK_TAGS = frozenset(
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol "
     "p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks of text, as opposed to the elements that group them.
+TEXT_TAGS = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre".split())
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -68,7 +70,7 @@ class Block:
     links: int  # characters inside links
     boilerplate: bool
     content: int  # number of the article or main element around, 0 for none
-    parent: int  # number of the element around
+    parent: int  # number of the element that groups it with others
 
     def first_label(self, has_content: bool) -> int:
         """The label that a block has by itself, OPEN if it is short or unclear."""
@@ -140,10 +142,10 @@ class _Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, _, boilerplate, content, _, number = next(
-                e for e in reversed(self.open) if e[0] in BLOCK_TAGS or not e[0]
-            )
-            self.blocks.append(Block(text, self.links, boilerplate, content, number))
+            blocks = [e for e in self.open if e[0] in BLOCK_TAGS or not e[0]]
+            _, _, boilerplate, content, _, _ = blocks[-1]
+            group = next(e[5] for e in reversed(blocks) if e[0] not in TEXT_TAGS)
+            self.blocks.append(Block(text, self.links, boilerplate, content, group))
         self.parts, self.links = [], 0
 
     def handle_starttag(self, tag, attrs):

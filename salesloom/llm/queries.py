@@ -40,6 +40,55 @@ def op8_mixing(spark, d):
     )
 
 
+ORACLE["op8_mixing"] = """
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT
+        AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k, md5(coalesce(text, '')) AS tk
+    FROM documents
+), s AS (
+    SELECT source, sum(size)::HUGEINT AS z FROM d GROUP BY source
+), w AS (
+    SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * z AS cap
+    FROM s
+), p AS (
+    SELECT *, sum(z) OVER () AS total, sum(w) OVER () AS ws,
+        coalesce(sum(cap) OVER o, 0) AS gone, coalesce(sum(w) OVER o, 0) AS gone_w
+    FROM w
+    WINDOW o AS (ORDER BY cap::DOUBLE / w, source NULLS LAST
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+    SELECT *, cap * (ws - gone_w) <= (total - gone) * w AS at_cap FROM p
+), g AS (
+    SELECT *, coalesce(sum(cap) FILTER (at_cap) OVER (), 0) AS c,
+        coalesce(sum(w) FILTER (at_cap) OVER (), 0) AS cw
+    FROM f
+), t AS (
+    SELECT source, z, w, CASE WHEN at_cap THEN cap::DOUBLE
+        ELSE ((total - c) * w)::DOUBLE / (ws - cw)::DOUBLE END AS target
+    FROM g
+), q AS (
+    SELECT *, floor(target + 0.5)::BIGINT AS quota, (w - 2) * 0.5::DOUBLE AS tilt FROM t
+), e AS (
+    SELECT d.*, q.z, q.target, q.quota, q.tilt,
+        CASE WHEN q.z > 0 THEN (q.quota // q.z)::BIGINT ELSE 1 END AS times,
+        coalesce(sum(d.size) OVER (
+            PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size, tk
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), h AS (
+    SELECT *, quota - times * z::BIGINT AS rest FROM e
+), r AS (
+    SELECT *, (times + CASE WHEN pos < rest THEN 1 ELSE 0 END)::BIGINT AS copies,
+        CASE WHEN quota > 0 THEN pos::DOUBLE / quota::DOUBLE ELSE 0 END AS u, 1 - tilt AS low
+    FROM h
+)
+SELECT doc_id, size, z::BIGINT AS source_size, target,
+    (times * size + greatest(0, least(size, rest - pos)))::BIGINT AS taken, copies,
+    CASE WHEN copies > 0 THEN 2 * u / (low + sqrt(low * low + 4 * tilt * u)) END AS position
+FROM r
+"""
+
+
 @query
 def op9_packing(spark, d):
     import public_tokenizers
