@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..functions.labels import change_label, money_label, pct_label
 from ..functions.numbers import ratio
+from ..settings import CARD_LABELS
 from . import reports
 
 
@@ -117,16 +118,13 @@ def kpi_cards(figures: DataFrame) -> DataFrame:
     def plain(name):
         return F.col(name).cast("string")
 
-    cards = [
-        ("principal", "CA Total", euros("ca_total")),
-        ("principal", "Commandes", plain("nb_commandes")),
-        ("principal", "Panier Moyen", euros("panier_moyen")),
-        ("principal", "Taux Annulation", F.concat(plain("taux_annulation"), F.lit(" %"))),
-        ("secondaire", "Vendeurs actifs", plain("nb_vendeurs")),
-        ("secondaire", "Produits vendus", plain("nb_produits")),
-        ("secondaire", "Remises accordees", euros("remise_totale")),
-        ("secondaire", "Annulations", plain("nb_annulations")),
+    texts = [
+        euros("ca_total"), plain("nb_commandes"), euros("panier_moyen"),
+        F.concat(plain("taux_annulation"), F.lit(" %")), plain("nb_vendeurs"),
+        plain("nb_produits"), euros("remise_totale"), plain("nb_annulations"),
     ]
+    levels = ["principal"] * 4 + ["secondaire"] * 4
+    cards = list(zip(levels, CARD_LABELS, texts, strict=True))
     return figures.select(
         F.inline(
             F.array(

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import (
     date_or_null, month_name, na_to_null, number_or_null, strip_text,
@@ -30,6 +30,8 @@ UNREADABLE_SUFFIX = "_illisible"
 UNREADABLE_COLUMNS = tuple(c + UNREADABLE_SUFFIX for c in NUMERIC_COLUMNS)
 # Optional column of the ingest: place of the line inside its file.
 POSITION_COLUMN = "_position"
+# Names that the chain itself uses; a column of the feed of that name becomes ``name~1``.
+RESERVED = (*UNREADABLE_COLUMNS, POSITION_COLUMN, "_empreinte", "_extras", "_chemin", "lot_ingestion")
 
 
 def normalise_na(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -133,23 +135,19 @@ def impute_median(
 
 
 def typed(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Dates, whole quantities (cut toward zero), decimal prices; text is stripped.
+    """Dates, whole quantities (cut toward zero), prices and discounts; text is stripped.
 
-    Lines whose date no format reads are dropped. Quantities and prices of ten
-    billion and more do not fit the decimal types and count as unreadable.
+    Lines whose date no format reads are dropped. Prices and discounts keep all digits of
+    double precision; a quantity beyond 64 bits becomes zero, which the quality report counts.
     """
-    quantity = F.when(F.abs(F.col("quantite")) < 1e10, F.col("quantite").cast("bigint"))
-    # Beyond a billion only the clamp to [0, 1] remains, so the bound changes nothing.
-    discount = F.greatest(F.least(F.col("remise"), F.lit(1e9)), F.lit(-1e9))
+    quantity = F.when(fits_quantity(F.col("quantite")), F.col("quantite").cast("bigint"))
     return (
         df.withColumns(
             {
                 "date": date_or_null(F.col("date"), settings.date_formats),
                 "quantite": F.coalesce(quantity, F.lit(0).cast("bigint")),
-                "prix_unitaire": F.coalesce(
-                    F.col("prix_unitaire").try_cast("decimal(14,4)"), F.lit(0).cast("decimal(14,4)")
-                ),
-                "remise": discount.cast("decimal(20,6)"),
+                "prix_unitaire": F.coalesce(F.col("prix_unitaire"), F.lit(0.0)),
+                "remise": F.coalesce(F.col("remise"), F.lit(0.0)),
             }
         )
         .filter(F.col("date").isNotNull())
@@ -158,18 +156,20 @@ def typed(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
+def fits_quantity(value: Column) -> Column:
+    """Whether a number is in the range of whole quantities."""
+    return (value > -(2.0**63)) & (value < 2.0**63)
+
+
 def trim_text(df: DataFrame) -> DataFrame:
     return df.withColumns({c: strip_text(F.col(c)) for c in TEXT_COLUMNS})
 
 
 def normalize_discount(df: DataFrame) -> DataFrame:
     """Percentages above 1 become fractions, then clamp to [0, 1]; exactly 1 stays 100 %."""
-    x = F.col("remise").cast("decimal(20,6)")
-    fraction = F.when(x > 1, x * F.lit("0.01").cast("decimal(2,2)")).otherwise(x.cast("decimal(22,8)"))
-    zero, one = F.lit(0).cast("decimal(22,8)"), F.lit(1).cast("decimal(22,8)")
-    return df.withColumn(
-        "remise", F.greatest(F.least(fraction.cast("decimal(22,8)"), one), zero).cast("decimal(9,8)")
-    )
+    x = F.col("remise").cast("double")
+    fraction = F.when(x > 1, x / 100).otherwise(x)
+    return df.withColumn("remise", F.greatest(F.least(fraction, F.lit(1.0)), F.lit(0.0)))
 
 
 def clamp_negative(df: DataFrame) -> DataFrame:

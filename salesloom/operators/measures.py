@@ -1,4 +1,4 @@
-"""Line-level revenue measures, in exact decimals."""
+"""Line-level revenue measures, in exact decimals wherever the numbers allow."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import Settings
 
-MONEY = "decimal(27,2)"
+MONEY = "decimal(28,2)"
+GROSS = "decimal(36,6)"
+#: Amounts of this size and more fit no decimal column; they count as zero and are reported.
+LARGEST_AMOUNT = 1e26
 
 
 def is_excluded(status: Column, settings: Settings) -> Column:
@@ -21,11 +24,24 @@ def enrich(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Net revenue is rounded per line, half to even, before anything is summed.
     Decimal sums do not depend on the order of rows, so totals are the same
-    for every partitioning.
+    for every partitioning. Ten-digit quantities and prices with up to six decimals
+    multiply exactly, everything beyond with the precision of doubles.
     """
-    gross = F.col("quantite").cast("decimal(10,0)") * F.col("prix_unitaire").cast("decimal(14,4)")
+    exact = {
+        name: _exactly(df, name, kind) for name, kind in (
+            ("quantite", "decimal(10,0)"), ("prix_unitaire", "decimal(16,6)"),
+            ("remise", "decimal(9,8)"),
+        )
+    }
     one = F.lit(1).cast("decimal(1,0)")
-    net = F.bround(F.col("ca_brut") * (one - F.col("remise").cast("decimal(9,8)")), 2).cast(MONEY)
+    gross = exact["quantite"] * exact["prix_unitaire"]
+    net = F.bround(gross * (one - exact["remise"]), 2).cast(MONEY)
+    # Larger numbers and more digits than a decimal product can hold: double precision.
+    wide = F.col("quantite").cast("double") * F.col("prix_unitaire").cast("double")
+    wide = F.when(F.abs(wide) < LARGEST_AMOUNT, wide).otherwise(0.0)
+    wide_net = F.bround(wide * (1 - F.col("remise").cast("double")), 2)
+    gross = F.coalesce(gross.cast(GROSS), wide.cast(GROSS))
+    net = F.coalesce(net, wide_net.cast(MONEY))
     return (
         df.withColumn("ca_brut", gross)
         .withColumn("ca_net", net)
@@ -38,3 +54,12 @@ def enrich(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
             }
         )
     )
+
+
+def _exactly(df: DataFrame, name: str, kind: str) -> Column:
+    """The column as ``kind``, NULL where that would change its value."""
+    column = F.col(name)
+    value = column.try_cast(kind)
+    if dict(df.dtypes)[name] == "double":
+        return F.when(value.cast("double") == column, value)
+    return F.when(value == column, value)

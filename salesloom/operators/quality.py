@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numbers import date_or_null
 from ..settings import NUMERIC_COLUMNS, SOURCE_COLUMN, TEXT_COLUMNS, UNKNOWN, Settings
 from ..staging import materialise
-from .cleaning import UNREADABLE_SUFFIX
+from .cleaning import UNREADABLE_SUFFIX, fits_quantity
+from .measures import LARGEST_AMOUNT
 from .reports import CELLS, ITEMS, MONTHS, grain, group_totals, report_groups
 
 
@@ -63,6 +64,11 @@ def quality_report(
         bad = F.col(c + UNREADABLE_SUFFIX).isNotNull()
         counts[f"null_{c}"] = F.count_if(dated & F.col(c).isNull() & ~bad)
         counts[f"bad_{c}"] = F.count_if(dated & bad)
+    counts["huge_quantite"] = F.count_if(dated & ~fits_quantity(F.col("quantite")))
+    amount = F.abs(F.col("quantite") * F.col("prix_unitaire"))
+    counts["huge_prix_unitaire"] = F.count_if(
+        dated & fits_quantity(F.col("quantite")) & (amount >= LARGEST_AMOUNT)
+    )
     figures = unique.agg(*[e.alias(k) for k, e in counts.items()]).withColumn("raw", n_raw.scalar())
 
     def text(value):
@@ -75,6 +81,10 @@ def quality_report(
         *[("texte_absent", c, F.col(f"null_{c}"), F.lit(UNKNOWN)) for c in TEXT_COLUMNS],
         *[("nombre_absent", c, F.col(f"null_{c}"), text(medians[c] or 0.0)) for c in NUMERIC_COLUMNS],
         *[("nombre_illisible", c, F.col(f"bad_{c}"), text(0.0)) for c in NUMERIC_COLUMNS],
+        *[
+            ("nombre_hors_limites", c, F.col(f"huge_{c}"), text(0.0))
+            for c in ("quantite", "prix_unitaire")
+        ],
         ("date_illisible", "date", F.col("unreadable_date"), None),
         ("sortie", None, F.col("out"), None),
     ]
@@ -105,7 +115,7 @@ def reconcile(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
         DataFrame.unionByName,
         [
             group_totals(grain(groups, keys), axis)
-            .agg(F.sum(F.col("ca_total").cast("decimal(27,2)")).alias("somme"))
+            .agg(F.sum(F.col("ca_total").cast("decimal(28,2)")).alias("somme"))
             .select(F.lit(axis).alias("axe"), "somme")
             for axis, keys in axes.items()
         ],

@@ -7,6 +7,8 @@ decimals and leaves as DOUBLE. Ties are broken by the key, ascending.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import ratio
@@ -14,6 +16,8 @@ from ..settings import Settings
 from ..staging import materialise
 from .measures import is_excluded
 
+#: Parts that the salespeople of a dense cross-tab are dealt into.
+GRID_PARTS = 32
 ROLLUP_KEYS = ("annee", "mois", "mois_nom", "vendeur", "region", "categorie", "produit", "statut")
 
 
@@ -118,44 +122,46 @@ def by_month(df: DataFrame) -> DataFrame:
 def heatmap_cells(df: DataFrame) -> DataFrame:
     """Salesperson x region pairs that occur, as exact decimals.
 
-    Stored, because the cross-tabs read it three times: the lines are scanned
-    once and the rest works on this small table.
+    Stored, because the dense cross-tab reads it three times: the lines are scanned once
+    and the rest works on this small table.
     """
     return materialise(_booked(df, "vendeur", "region"), "cells")
 
 
 def heatmap_long(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Dense cross-tab in long form: one row per salesperson and region, empty cells 0."""
+    """Dense cross-tab in long form: one row per salesperson and region, empty cells 0.
+
+    Its size is salespeople times regions, which is what a dense table is; each region goes
+    to a range of salespeople, so no task holds the list of either.
+    """
     cells = heatmap_cells(df) if cells is None else cells
-    regions = cells.agg(F.sort_array(F.collect_set("region")).alias("regions"))
-    grid = (
-        cells.select("vendeur").distinct()
-        .select("vendeur", F.explode(regions.scalar()).alias("region"))
+    people = cells.select("vendeur").distinct().withColumn(
+        "part", F.pmod(F.xxhash64("vendeur"), F.lit(GRID_PARTS))
+    )
+    regions = cells.select("region").distinct().withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID_PARTS - 1).cast("long")))
     )
     return _as_double(
-        grid.join(cells, ["vendeur", "region"], "left")
+        people.join(regions, "part").drop("part").join(cells, ["vendeur", "region"], "left")
         .withColumn("ca_total", F.coalesce(F.col("ca_total"), F.lit(0)))
     )
 
 
-def heatmap_wide(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Dense cross-tab as a matrix: one row per salesperson, one column per region.
+def heatmap_wide(df: DataFrame, regions: Sequence[str], cells: DataFrame | None = None) -> DataFrame:
+    """Dense cross-tab as a matrix: one row per salesperson, a column for each of ``regions``.
 
-    Column names must be known when the plan is built, hence one small job over
-    the distinct regions, under the limit that Spark sets for pivots.
+    The caller names the columns, in their order; revenue elsewhere is not shown. Names
+    that differ only in case can be told apart by place but not stored under their names:
+    what is written is the long form, which holds any region.
     """
-    cells = heatmap_cells(df) if cells is None else cells
-    limit = int(cells.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    names = [r[0] for r in cells.select("region").distinct().limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} regions: use heatmap_long")
-    if not names:
-        return cells.select("vendeur").distinct()
+    cells = _booked(df, *CELLS) if cells is None else cells
+    sums = [
+        F.sum(F.when(F.col("region") == name, F.col("ca_total"))) for name in regions
+    ]
+    if not sums:
+        return cells.select("vendeur").distinct().orderBy("vendeur")
     return cells.groupBy("vendeur").agg(
-        *[
-            _money(F.coalesce(F.sum(F.when(F.col("region") == name, F.col("ca_total"))), F.lit(0))).alias(name)
-            for name in sorted(names)
-        ]
+        *[_money(F.coalesce(x, F.lit(0))).alias(n) for x, n in zip(sums, regions, strict=True)]
     ).orderBy("vendeur")
 
 
@@ -218,6 +224,6 @@ def reports_from_groups(
         "par_mois": by_month(months),
         "par_categorie": by_category(items),
         "par_region": by_region(cells),
-        "heatmap": heatmap_wide(cells, _booked(cells, *CELLS)),
+        "heatmap": _as_double(_booked(cells, *CELLS)),
         "top_produits": top_products(items, settings.top_products),
     }

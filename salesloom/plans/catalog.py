@@ -18,7 +18,7 @@ from ..settings import (
 )
 from ..sources import csv_files
 from ..sources.csv_files import union_by_name
-from ..sources.star import raw_sales, sales, sales_with_calendar
+from ..sources.star import raw_sales, sales, sales_with_calendar, table
 from ..staging import staging_path
 from ..streaming import monthly
 from . import run, sinks
@@ -123,7 +123,8 @@ def heatmap_empty_cells(spark, d):
 
 @query
 def heatmap_wide(spark, d):
-    return reports.heatmap_wide(_lines(spark, d, "vendeur", "region"))
+    regions = [r[0] for r in table(spark, d, "region").select("r_name").orderBy("r_name").collect()]
+    return reports.heatmap_wide(_lines(spark, d, "vendeur", "region"), regions)
 
 
 @query
@@ -310,6 +311,50 @@ def typed(spark, d):
     return _doubles(cleaning.typed(_imputed(spark, d)))
 
 
+@query
+def extreme_values(spark, d):
+    """Quantities and prices far beyond ten digits, long discounts, tiny prices."""
+    lines = table(spark, d, "lineitem").join(
+        table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")
+    )
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    huge, long = line == 1, line == 2
+    price = F.col("p_retailprice").cast("double") * 1_000_000
+    tiny = F.concat(F.lit("0.0000"), (4 + order % 5).cast("string"))
+    text = lines.select(
+        "l_orderkey", "l_linenumber", F.lit("2024-01-05").alias("date"),
+        *[F.lit("x").alias(c) for c in TEXT_COLUMNS],
+        F.when(huge, F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("000000000000")))
+        .when(long, "9000000").otherwise("1000000").alias("quantite"),
+        F.when(huge, price.cast("string")).when(long, "1").otherwise(tiny).alias("prix_unitaire"),
+        F.when(long, F.concat(F.lit("0."), (33333333 + order % 7).cast("string")))
+        .otherwise("0").alias("remise"),
+    )
+    chain = cleaning.parse_numbers(text).transform(cleaning.typed)
+    lines = enrich(chain.transform(cleaning.normalize_discount).transform(cleaning.clamp_negative))
+    return _doubles(lines.select(
+        "l_orderkey", "l_linenumber", "quantite", "prix_unitaire", "remise", "ca_net"
+    ))
+
+
+@query
+def typed_datetimes(spark, d):
+    """Days spelled in turn as date, date-time and date without leading zeros."""
+    day = F.col("l_shipdate").cast("date")
+    turn = F.col("l_orderkey") % 4
+    text = F.when(turn == 0, F.date_format(day, "yyyy-MM-dd")).when(
+        turn == 1, F.date_format(day, "yyyy-MM-dd 08:30:00")
+    ).when(turn == 2, F.date_format(day, "yyyy-M-d")).otherwise(
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T23:59:59"))
+    )
+    raw = table(spark, d, "lineitem").select(
+        text.alias("date"), *[F.lit("x").alias(c) for c in TEXT_COLUMNS],
+        *[F.lit("1").alias(c) for c in NUMERIC_COLUMNS],
+    )
+    lines = cleaning.typed(cleaning.parse_numbers(raw))
+    return lines.groupBy("date").agg(F.count(F.lit(1)).alias("nb"))
+
+
 @query
 def trim_text(spark, d):
     return cleaning.trim_text(raw_sales(spark, d)).select(*TEXT_COLUMNS, SOURCE_COLUMN)
@@ -543,6 +588,18 @@ def stream_ingest(spark, d):
     return monthly.stored_lines(spark, table_dir).select(*BUSINESS_COLUMNS)
 
 
+@query
+def stream_subfolders(spark, d):
+    """Folders beside the files, one named like a partition, are not part of the feed."""
+    folder, table_dir, marks = (staging_path(spark, n) for n in ("csv", "stream", "marks"))
+    first, second = _halves(spark, d)
+    sinks.write_csv(first, folder)
+    sinks.write_csv(second, f"{folder}/annee=1999")
+    sinks.write_csv(second, f"{folder}/autres")
+    monthly.ingest_new_files(spark, folder, table_dir, marks)
+    return monthly.stored_lines(spark, table_dir).select(*BUSINESS_COLUMNS)
+
+
 @query
 def csv_roundtrip(spark, d):
     """Canonical lines written as CSV by month and read back with their types."""
@@ -572,3 +629,12 @@ def run_reports(spark, d):
     sinks.write_csv(_feed(spark, d), folder)
     done = run.run(spark, folder, out, period="Essai", run_id="essai")
     return sinks.read_report(spark, out, done.run_id, "mois").drop("periode")
+
+
+@query
+def run_heatmap(spark, d):
+    """The cross-tab as a whole run writes it, read back."""
+    folder, out = staging_path(spark, "csv"), staging_path(spark, "reports")
+    sinks.write_csv(_feed(spark, d), folder)
+    done = run.run(spark, folder, out, period="Essai", run_id="essai")
+    return sinks.read_report(spark, out, done.run_id, "heatmap").drop("periode")

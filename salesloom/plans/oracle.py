@@ -6,10 +6,18 @@ chain is written once per view and each query takes the views it needs.
 
 from __future__ import annotations
 
-from ..settings import MONTH_NAMES, MONTH_NAMES_PLAIN
-
 ORACLE: dict[str, str] = {}
 
+# Fixed values, spelled out again so that a mistake in the settings shows.
+MONTH_NAMES = (
+    "Janvier", "Février", "Mars", "Avril", "Mai", "Juin", "Juillet", "Août", "Septembre",
+    "Octobre", "Novembre", "Décembre",
+)
+MONTH_NAMES_PLAIN = (
+    "Janvier", "Fevrier", "Mars", "Avril", "Mai", "Juin", "Juillet", "Aout", "Septembre",
+    "Octobre", "Novembre", "Decembre",
+)
+
 
 def _month(names, column):
     arms = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names, start=1))
@@ -26,9 +34,9 @@ _STATUS = """CASE WHEN l_returnflag = 'R' THEN 'Retourné'
        WHEN l_returnflag = 'A' THEN 'En cours' ELSE 'Livré' END"""
 
 _JOINS = """lineitem
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"""
+  LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+  LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey"""
 
 
 def _decode(spelling):
@@ -113,23 +121,21 @@ FROM filled, med"""),
     "typed": (("imputed",), """
 SELECT TRY_CAST(date AS DATE) AS date, trim(vendeur) AS vendeur, trim(region) AS region,
   trim(produit) AS produit, trim(categorie) AS categorie, CAST(trunc(quantite) AS BIGINT) AS quantite,
-  CAST(prix_unitaire AS DECIMAL(14,4)) AS prix_unitaire, CAST(remise AS DECIMAL(20,6)) AS remise,
-  trim(statut) AS statut, source_fichier
+  prix_unitaire, remise, trim(statut) AS statut, source_fichier
 FROM imputed WHERE TRY_CAST(date AS DATE) IS NOT NULL"""),
     "discounted": (("typed",), """
-SELECT * REPLACE (CAST(greatest(least(CASE WHEN remise > 1 THEN CAST(remise * 0.01 AS DECIMAL(22,8))
-  ELSE CAST(remise AS DECIMAL(22,8)) END, 1), 0) AS DECIMAL(9,8)) AS remise)
+SELECT * REPLACE (greatest(least(CASE WHEN remise > 1 THEN remise / 100 ELSE remise END, 1), 0) AS remise)
 FROM typed"""),
     "clamped": (("discounted",), """
 SELECT * REPLACE (greatest(quantite, 0) AS quantite,
-  CAST(greatest(prix_unitaire, 0) AS DECIMAL(14,4)) AS prix_unitaire)
+  greatest(prix_unitaire, 0) AS prix_unitaire)
 FROM discounted"""),
     "clean": (("clamped",), f"""
 SELECT * REPLACE ({_decode('lower(trim(statut))')} AS statut), {_CALENDAR} FROM clamped"""),
     "clean_net": (("clean",), """
-SELECT *, CAST(quantite AS DECIMAL(10,0)) * prix_unitaire AS ca_brut,
-  CAST(round_even(CAST(quantite AS DECIMAL(10,0)) * prix_unitaire
-    * (CAST(1 AS DECIMAL(1,0)) - remise), 2) AS DECIMAL(27,2)) AS ca_net
+SELECT *, CAST(quantite AS DECIMAL(9,0)) * CAST(prix_unitaire AS DECIMAL(14,4)) AS ca_brut,
+  CAST(round_even(CAST(quantite AS DECIMAL(9,0)) * CAST(prix_unitaire AS DECIMAL(14,4))
+    * (1 - CAST(remise AS DECIMAL(9,6))), 2) AS DECIMAL(27,2)) AS ca_net
 FROM clean"""),
     "clean_enriched": (("clean_net",), """
 SELECT *, CAST(round_even(ca_brut - ca_net, 2) AS DECIMAL(27,2)) AS remise_euros,
@@ -217,8 +223,8 @@ _register("by_region", "SELECT * FROM by_region ORDER BY ca_total DESC, region",
 def _heat(person):
     return f"""
 SELECT v.vendeur, r.region, CAST(coalesce(sum(c.ca_comptabilise), 0) AS DOUBLE) AS ca_total
-FROM (SELECT DISTINCT {person} AS vendeur FROM enriched) v
-CROSS JOIN (SELECT DISTINCT region FROM enriched) r
+FROM (SELECT DISTINCT {person} AS vendeur FROM enriched WHERE vendeur IS NOT NULL AND region IS NOT NULL) v
+CROSS JOIN (SELECT DISTINCT region FROM enriched WHERE vendeur IS NOT NULL AND region IS NOT NULL) r
 LEFT JOIN (SELECT {person} AS vendeur, region, ca_comptabilise FROM enriched) c
   ON c.vendeur = v.vendeur AND c.region = r.region
 GROUP BY 1, 2"""
@@ -229,7 +235,7 @@ _register("heatmap_empty_cells", _heat("vendeur || ' ' || strftime(date, '%Y-%m'
 _register("heatmap_wide", "SELECT vendeur, " + ", ".join(
     f"CAST(coalesce(sum(ca_comptabilise) FILTER (WHERE region = '{r}'), 0) AS DOUBLE) AS \"{r}\""
     for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-) + " FROM enriched GROUP BY vendeur", "enriched")
+) + " FROM enriched WHERE vendeur IS NOT NULL AND region IS NOT NULL GROUP BY vendeur", "enriched")
 _register("rollup", """
 SELECT annee, mois, mois_nom, vendeur, region, categorie, produit, statut, count(*) AS nb_lignes,
   CAST(sum(ca_net) AS DOUBLE) AS ca_net, CAST(sum(remise_euros) AS DOUBLE) AS remise_euros,
@@ -374,9 +380,28 @@ _QUALITY = [
       for c, m in (("quantite", "mq"), ("prix_unitaire", "mp"), ("remise", "mr"))],
     *[("nombre_illisible", f"'{c}'", f"(SELECT count(*) FROM dated WHERE {c}_illisible IS NOT NULL)", "'0.0'")
       for c in ("quantite", "prix_unitaire", "remise")],
+    ("nombre_hors_limites", "'quantite'", "(SELECT count(*) FROM dated WHERE abs(quantite) >= 9e18)", "'0.0'"),
+    ("nombre_hors_limites", "'prix_unitaire'", "(SELECT count(*) FROM dated WHERE quantite * prix_unitaire >= 1e26)", "'0.0'"),
     ("date_illisible", "'date'", "(SELECT count(*) FROM dated WHERE TRY_CAST(date AS DATE) IS NULL)", "NULL"),
     ("sortie", "NULL", "(SELECT count(*) FROM dated WHERE TRY_CAST(date AS DATE) IS NOT NULL)", "NULL"),
 ]
+ORACLE["extreme_values"] = """
+SELECT l_orderkey, l_linenumber, quantite, prix_unitaire, remise, greatest(net, 0) AS ca_net
+FROM (
+  SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 1000000000000 AS quantite,
+    p_retailprice * 1000000.0 AS prix_unitaire, 0.0::DOUBLE AS remise,
+    CAST(l_quantity AS DOUBLE) * 1000000000000 * (p_retailprice * 1000000.0) AS net
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1
+  UNION ALL
+  SELECT l_orderkey, l_linenumber, 9000000, 1.0, (33333333 + l_orderkey % 7) / 100000000.0::DOUBLE,
+    9000000.0 - 0.09 * (33333333 + l_orderkey % 7)
+  FROM lineitem WHERE l_linenumber = 2
+  UNION ALL
+  SELECT l_orderkey, l_linenumber, 1000000, (4 + l_orderkey % 5) / 100000.0::DOUBLE, 0.0, 10.0 * (4 + l_orderkey % 5)
+  FROM lineitem WHERE l_linenumber > 2
+)"""
+ORACLE["typed_datetimes"] = """
+SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS nb FROM lineitem GROUP BY 1"""
 _register("quality_report", " UNION ALL ".join(
     f"SELECT CAST({i} AS BIGINT) AS ordre, '{step}' AS etape, CAST({column} AS VARCHAR) AS colonne, "
     f"{n} AS nb, CAST({value} AS VARCHAR) AS valeur"
@@ -394,7 +419,12 @@ UNION ALL SELECT 'par_region', region, ca_total FROM by_region
 UNION ALL SELECT * FROM (SELECT 'top_produits', produit, ca_total FROM by_produit
   ORDER BY ca_total DESC, produit LIMIT 10)""", "by_vendeur", "months", "by_categorie", "by_region", "by_produit")
 ORACLE["transform_kpis"] = ORACLE["kpis"]
-ORACLE["transform_heatmap"] = ORACLE["heatmap_wide"]
+_register("transform_heatmap", """
+SELECT vendeur, region, CAST(sum(ca_comptabilise) AS DOUBLE) AS ca_total FROM enriched
+WHERE vendeur IS NOT NULL AND region IS NOT NULL GROUP BY vendeur, region""", "enriched")
+_register("run_heatmap", """
+SELECT vendeur, region, CAST(sum(ca_comptabilise) AS DOUBLE) AS ca_total
+FROM clean_enriched GROUP BY vendeur, region""", "clean_enriched")
 
 # ---------------------------------------------------------------- files in and out
 
@@ -408,6 +438,7 @@ _register("union_files", f"""
 SELECT {_FEED}, CAST(NULL AS VARCHAR) AS commentaire FROM raw WHERE {_FIRST}
 UNION ALL SELECT * REPLACE (CAST(NULL AS VARCHAR) AS remise), upper(produit) FROM (
   SELECT {_FEED} FROM raw WHERE NOT {_FIRST})""", "raw")
+_register("stream_subfolders", f"SELECT {_FEED} FROM raw WHERE {_FIRST}", "raw")
 _register("provenance", """
 SELECT count(*) AS nb_lignes, CAST(0 AS BIGINT) AS nb_ecarts, CAST(0 AS BIGINT) AS nb_noms_faux FROM raw""", "raw")
 _register("quarantine_files", f"""

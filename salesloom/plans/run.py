@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.labels import current_period_label, previous_period_label
 from ..operators import analytics, cleaning, quality, reports
 from ..operators.measures import enrich
-from ..settings import SOURCE_COLUMN, Settings
+from ..settings import BUSINESS_COLUMNS, MONTH_NAMES, MONTH_NAMES_PLAIN, SOURCE_COLUMN, Settings
 from ..sources.csv_files import Scan, as_raw, scan_csv
 from ..staging import materialise, scratch
 from .sinks import write_reports
@@ -47,10 +47,12 @@ def report_tables(results: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def period_label(spark: SparkSession, run_date: date, scheduled: bool = False) -> str:
+def period_label(run_date: date, scheduled: bool = False) -> str:
     """Label of a run: its month, or the month before for a scheduled monthly run."""
-    label = previous_period_label if scheduled else current_period_label
-    return spark.range(1).select(label(F.lit(run_date))).first()[0]
+    if scheduled:
+        before = run_date.replace(day=1) - timedelta(days=1)
+        return f"{MONTH_NAMES_PLAIN[before.month - 1]} {before.year}"
+    return f"{MONTH_NAMES[run_date.month - 1]} {run_date.year}"
 
 
 def run(
@@ -62,6 +64,7 @@ def run(
     run_id: str | None = None,
     settings: Settings = Settings(),
     fmt: str = "parquet",
+    scheduled: bool = False,
 ) -> Run:
     """Ingest, clean, report and write. The period is a label and never filters lines.
 
@@ -70,7 +73,7 @@ def run(
     with scratch(spark):
         scan: Scan = scan_csv(spark, in_dir)
         raw = as_raw(scan.lines, settings)
-        return report_raw(spark, raw, out_dir, period, run_date, run_id, settings, fmt, scan.files)
+        return report_raw(spark, raw, out_dir, period, run_date, run_id, settings, fmt, scan.files, scheduled)
 
 
 def report_raw(
@@ -83,16 +86,18 @@ def report_raw(
     settings: Settings = Settings(),
     fmt: str = "parquet",
     files: DataFrame | None = None,
+    scheduled: bool = False,
 ) -> Run:
     """The run after ingest, over raw lines (also those stored by the stream).
 
     With ``files``, the description of the folder scan, the raw lines are read
     exactly once, by the deduplication; line counts come from the description.
     """
-    run_id = run_id or datetime.now().strftime("%Y%m%d_%H%M%S")
-    period = period or period_label(spark, run_date or date.today())
+    run_id = run_id or f"{datetime.now():%Y%m%d_%H%M%S}_{uuid4().hex[:8]}"
+    period = period or period_label(run_date or date.today(), scheduled)
     with scratch(spark):
-        unique = cleaning.unique_lines(raw)
+        # Reports need no provenance: without it the deduplication hashes instead of sorts.
+        unique = cleaning.unique_lines(raw.select(*BUSINESS_COLUMNS))
         found = cleaning.medians(cleaning.drop_null_date(unique), settings)
         results = transform(cleaning.clean_unique(unique, settings, found), settings)
         datasets = report_tables(results)

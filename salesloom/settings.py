@@ -42,6 +42,12 @@ MONTH_NAMES_PLAIN = (
     "Juillet", "Aout", "Septembre", "Octobre", "Novembre", "Decembre",
 )
 
+# Labels of the eight report cards, in order: four main ones, four others.
+CARD_LABELS = (
+    "CA Total", "Commandes", "Panier Moyen", "Taux Annulation",
+    "Vendeurs actifs", "Produits vendus", "Remises accordees", "Annulations",
+)
+
 # Default missing-value tokens of the public pandas CSV reader.
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",

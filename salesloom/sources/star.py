@@ -34,35 +34,34 @@ def _status():
 def _joined(spark: SparkSession, sf_dir: str, columns: tuple[str, ...]) -> DataFrame:
     """Lines with the dimensions that ``columns`` need and no others.
 
-    Every key of the star schema resolves to exactly one dimension row (checked
-    in the tests), so a dimension nobody reads neither adds nor removes lines;
-    leaving it out saves the largest shuffle (lines to orders) in most reports.
-    No join is hinted: Catalyst broadcasts what its size statistics allow and
-    sort-merges the rest, with AQE splitting skewed keys.
+    The view left-joins its dimensions on their primary keys, so every query sees all
+    lines, and a dimension nobody reads can be left out: that saves the largest shuffle
+    (lines to orders) in most reports. No join is hinted: Catalyst broadcasts what its
+    size statistics allow and sort-merges the rest, with AQE splitting skewed keys.
     """
     lines = table(spark, sf_dir, "lineitem")
     if {"produit", "categorie", "prix_unitaire"} & set(columns):
         part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
-        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     if "vendeur" in columns:
         supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-        lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     if "region" in columns:
         # The three small dimensions meet first, so that lines are shuffled once.
         places = (
             table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
             .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"),
-                  F.col("c_nationkey") == F.col("n_nationkey"))
+                  F.col("c_nationkey") == F.col("n_nationkey"), "left")
             .join(table(spark, sf_dir, "region").select("r_regionkey", "r_name"),
-                  F.col("n_regionkey") == F.col("r_regionkey"))
+                  F.col("n_regionkey") == F.col("r_regionkey"), "left")
             .select("c_custkey", "r_name")
         )
         orders = (
             table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-            .join(places, F.col("o_custkey") == F.col("c_custkey"))
+            .join(places, F.col("o_custkey") == F.col("c_custkey"), "left")
             .select("o_orderkey", "r_name")
         )
-        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return lines
 
 

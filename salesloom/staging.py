@@ -24,6 +24,8 @@ def staging_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
+        if not context.master.startswith("local") and _is_local(spark, configured):
+            raise RuntimeError(f"{configured} is local to each machine: name a shared folder")
         return configured.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -33,6 +35,18 @@ def staging_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def _is_local(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder without a scheme of its own lies on a machine's own disk.
+
+    ``file:`` spelled out is taken at its word: it may be a mount that all machines share.
+    """
+    if "://" in folder or folder.startswith("file:"):
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getUri().getScheme() == "file"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A path in the staging folder that no other call gets."""
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -33,7 +33,7 @@ def test_dirty_lines(spark):
     found = materialise(enrich(cleaning.clean(raw)), "lines")
     assert found.filter(F.col("source_fichier") == "ventes_zz_doublons.csv").isEmpty()
     table = found.groupBy("statut").agg(
-        F.count(F.lit(1)), F.sum("quantite"), F.sum("prix_unitaire").cast("double"),
+        F.count(F.lit(1)), F.sum("quantite"), F.round(F.sum("prix_unitaire"), 2),
         F.round(F.sum("remise"), 2).cast("double"), F.sum("ca_net").cast("double"), F.count_if(F.col("remise") == 1),
     )
     assert sorted(rows(table)) == [

@@ -41,5 +41,5 @@ def test_periods(spark):
 
 
 def test_period_of_a_run(spark):
-    assert period_label(spark, dt.date(2024, 2, 1)) == "Février 2024"
-    assert period_label(spark, dt.date(2024, 1, 1), scheduled=True) == "Decembre 2023"
+    assert period_label(dt.date(2024, 2, 1)) == "Février 2024"
+    assert period_label(dt.date(2024, 1, 1), scheduled=True) == "Decembre 2023"
