@@ -145,8 +145,8 @@ def _grow(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     done = None
     level = stage(sets.select("id", "sketch").mapInPandas(first, "gid long, id long"), "paths")
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
-        shared = stage(level.join(sizes, "gid"), "nodes")
+        sizes = stage(level.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        shared = stage(join_hot(level, sizes, "gid", "n", level.count()), "nodes")
         final = shared if depth == DEPTH else shared.where(F.col("n") <= BLOCK)
         done = final if done is None else done.unionByName(final)
         large = shared.where(F.col("n") > BLOCK)
