@@ -60,9 +60,17 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     if written is not None and path is None:
         written.append(target)
     df.write.mode("overwrite").parquet(target)
+    if path is None:
+        _remove_at_the_end(spark, target)
     return spark.read.schema(df.schema).parquet(target)
 
 
+def _remove_at_the_end(spark: SparkSession, target: str) -> None:
+    """A table that no block removes goes with the application that wrote it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove, at the end, the staging tables that the block wrote (and nothing else)."""
