@@ -22,8 +22,8 @@ from pyspark.sql.types import StructType
 from ..staging import materialise as stage
 
 __all__ = [
-    "WordHashes", "blockwise", "components", "extend", "join_hot", "match_pairs", "ranked", "ship", "stage",
-    "table", "text_key", "words_of",
+    "WordHashes", "blockwise", "components", "extend", "join_hot", "join_salted", "match_pairs",
+    "ranked", "ship", "stage", "table", "text_key", "words_of",
 ]
 
 #: Rows of one block; a task never holds more than two blocks of one group.
@@ -171,7 +171,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int)
     return near.unionByName(far)
 
 
-def _salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
     """Join where a hub may have most rows of ``left``: ``right`` has one short row a key."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (
@@ -203,13 +203,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            _salted(both.where("v > u"), least, "u", "v")
+            join_salted(both.where("v > u"), least, "u", "v")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         large = stage(large.where("u <> v"), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            _salted(large, low, "u", "v").where("v <> m")
+            join_salted(large, low, "u", "v").where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _salted, blockwise, components, join_hot, match_pairs, stage
+from .common import blockwise, components, join_hot, join_salted, match_pairs, stage
 
 COSINE = 0.93
 #: Chance that two vectors at that cosine pass a common filter.
@@ -207,7 +207,7 @@ def near_duplicates(
         sets.select(F.col("id").alias("node"), "vec_id"), "node"
     ), "members")
     first = member.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    classes = _salted(member, first, "component", "node").select(
+    classes = join_salted(member, first, "component", "node").select(
         F.col("node").alias("id"), "component_id"
     )
     known = stage(

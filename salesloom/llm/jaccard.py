@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import (
-    BLOCK, WordHashes, _salted, blockwise, components, extend, join_hot, match_pairs, stage,
+    BLOCK, WordHashes, blockwise, components, extend, join_hot, join_salted, match_pairs, stage,
     text_key, words_of,
 )
 
@@ -266,7 +266,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         sets.select(F.col("id").alias("node"), "doc_id"), "node"
     ), "members")
     first = member.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    classes = _salted(member, first, "component", "node").select(
+    classes = join_salted(member, first, "component", "node").select(
         F.col("node").alias("id"), "class_id"
     )
     known = stage(
