@@ -243,7 +243,8 @@ def blockwise(
     )
 
     def few(frame: pd.DataFrame) -> pd.DataFrame:
-        return _concat([match(g, None) for _, g in frame.groupby("gid", sort=False)])
+        found = (match(g, None) for _, g in frame.groupby("gid", sort=False))
+        return _concat([f for f in found if len(f)] or [NOTHING])
 
     blocks = F.ceil(F.col("_n") / BLOCK)
     dealt = sized.where(F.col("_n") > BLOCK).withColumn(
@@ -264,6 +265,9 @@ def blockwise(
     )
 
 
+NOTHING = pd.DataFrame({c: np.empty(0, np.int64) for c in ("u", "v", "links")})
+
+
 def _concat(frames: list[pd.DataFrame]) -> pd.DataFrame:
     return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
 
@@ -282,6 +286,8 @@ def match_pairs(
     right = left if b is None else len(a) + np.arange(len(b))
     if b is None:
         np.fill_diagonal(linked, False)
+    if not linked.any():
+        return NOTHING
     label = np.arange(len(ids))
     forest = []
     for i in left[linked.any(axis=1)]:

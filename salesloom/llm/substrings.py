@@ -240,8 +240,8 @@ def _hot_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for r in hot:
                 for at in range(r["first"], r["last"] + 1):
                     value = xxhash.xxh3_128_digest(b" ".join(words[at:at + WINDOW]))
-                    rows.append((doc, at, *np.frombuffer(value, np.int64).tolist()))
-        yield pd.DataFrame(rows, columns=["id", "start", "h1", "h2"], dtype="int64")
+                    rows.append((doc, at, value))
+        yield pd.DataFrame(rows, columns=["id", "start", "hash"])
 
 
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,10 +310,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         .applyInPandas(_search, "id long, start long, end long")
     )
     windows = stage(read.where(hot).select("id", "text", "runs").mapInPandas(
-        _hot_windows, "id long, start long, h1 long, h2 long"
+        _hot_windows, "id long, start long, hash binary"
     ), "windows")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    counted = windows.join(again, ["h1", "h2"]).select(
+    again = stage(
+        windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "again"
+    )
+    counted = join_hot(windows, again, "hash", "n", windows.count()).select(
         "id", "start", (F.col("start") + WINDOW).alias("end")
     )
     found = stage(indexed.unionByName(counted), "intervals").groupBy("id").agg(
