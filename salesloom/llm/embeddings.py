@@ -1,18 +1,19 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filter directions are the codewords of a random product code: after a random rotation
-every block of coordinates has a few random directions, and a codeword takes one from each
-block. A vector passes a filter if its inner product with the codeword exceeds a level; the
-blocks' inner products list all passed filters without looking at every codeword. Vectors
-at a small angle pass common filters with near certainty. Rows that meet in a filter are
-compared, and what was found together is verified in double precision.
+Filter directions are the codewords of random product codes: after a random rotation every
+block of coordinates has a few random directions, and a codeword takes one from each block.
+A vector passes a filter if its inner product with the codeword exceeds a level; the blocks'
+inner products list all passed filters without looking at every codeword. Codewords of one
+code are alike, so several codes with rotations of their own are used, as many as two
+vectors at the given angle need to pass a common filter with near certainty. Rows that meet
+in a filter are compared, and what was found together is verified in double precision.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -24,44 +25,28 @@ from .common import blockwise, components, join_hot, join_salted, match_pairs, s
 COSINE = 0.93
 #: Chance that two vectors at that cosine pass a common filter.
 RECALL = 0.9999
-#: Rows of the largest label that a filter lets pass, on average.
-BUCKET = 16
-BLOCKS = 3
+#: Rows of the largest label that a filter lets pass, and filters of a code that a vector
+#: passes, on average.
+BUCKET, PER_CODE = 64, 2.5
+BLOCKS = 2
+#: Pairs and codes that the number of codes is worked out from.
+TRIAL_PAIRS, TRIAL_CODES = 2_000, 4
 SEED = 93
 
 
 class Caps(NamedTuple):
-    """The level of the filters and the directions per block."""
+    """The level of the filters, the directions per block and the number of codes."""
 
     level: float
     directions: int
-
-
-def caps(rows: int, dim: int, cosine: float, recall: float) -> Caps:
-    """Filters for labels of up to ``rows`` vectors: selective enough, and enough of them.
-
-    With random directions an inner product is about normal with variance 1 / dim. A level
-    that BUCKET of ``rows`` vectors pass is passed by the neighbour of a vector that passes
-    with the chance ``both``; the expected number of common filters must make up for the
-    chance 1 - recall to have none. It is doubled because the codewords of a product code
-    are not independent.
-    """
-    normal = NormalDist()
-    passes = min(0.25, BUCKET / max(rows, 1))
-    z = normal.inv_cdf(1 - passes)
-    grid = z + (np.arange(400) + 0.5) / 100
-    weight = np.exp(-grid**2 / 2)
-    near = [normal.cdf((cosine * g - z) / math.sqrt(1 - cosine**2)) for g in grid]
-    both = float((weight * near).sum() / weight.sum())
-    wanted = 2 * math.log(1 / (1 - recall)) / both
-    return Caps(z / math.sqrt(dim), max(2, math.ceil((wanted / passes) ** (1 / BLOCKS))))
+    codes: int
 
 
 class Code:
-    """A random product code of dimension ``dim``, the same in every task."""
+    """The random product code with this number, the same in every task."""
 
-    def __init__(self, dim: int, cap: Caps):
-        random = np.random.default_rng([SEED, dim, cap.directions])
+    def __init__(self, dim: int, cap: Caps, number: int):
+        random = np.random.default_rng([SEED, number, dim, cap.directions])
         self.rotation = np.linalg.qr(random.standard_normal((dim, dim)))[0]
         self.cap = cap
         self.parts = [p for p in np.array_split(np.arange(dim), BLOCKS) if len(p)]
@@ -71,13 +56,16 @@ class Code:
             words /= np.linalg.norm(words, axis=1, keepdims=True) * math.sqrt(len(self.parts))
             self.words.append(words)
 
+    def scores(self, unit: np.ndarray) -> list[np.ndarray]:
+        turned = unit @ self.rotation
+        return [turned[:, p] @ w.T for p, w in zip(self.parts, self.words, strict=True)]
+
     def passed(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (row, codeword) with an inner product of at least the level.
 
         Blocks are taken in turn; a prefix that the best rest cannot lift is left out.
         """
-        turned = unit @ self.rotation
-        scores = [turned[:, p] @ w.T for p, w in zip(self.parts, self.words, strict=True)]
+        scores = self.scores(unit)
         best = [s.max(axis=1) for s in scores]
         rows = np.arange(len(unit))
         word = np.zeros(len(unit), np.int64)
@@ -91,6 +79,42 @@ class Code:
         return rows, word
 
 
+@lru_cache(maxsize=64)
+def caps(rows: int, dim: int, cosine: float, recall: float) -> Caps:
+    """Filters for labels of up to ``rows`` vectors: selective enough, and enough of them.
+
+    A filter shall let BUCKET of ``rows`` vectors pass. What level that takes, and how
+    often two vectors at the cosine share a filter of one code, is found by trying random
+    pairs: the codes are rotated at random, so the chance is the same for every pair, and
+    codes miss a pair independently of each other.
+    """
+    passes = min(0.25, BUCKET / max(rows, 1))
+    directions = max(2, math.ceil((PER_CODE / passes) ** (1 / BLOCKS)))
+    random = np.random.default_rng([SEED, dim, directions])
+    x, z = (random.standard_normal((TRIAL_PAIRS, dim)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * z
+    drafts = [Code(dim, Caps(0, directions, 1), 1_000_000 + i) for i in range(TRIAL_CODES)]
+    products = []
+    for draft in drafts:
+        total = np.zeros((len(x), 1))
+        for score in draft.scores(x):
+            total = (total[:, :, None] + score[:, None, :]).reshape(len(x), -1)
+        products.append(np.quantile(total, 1 - passes))
+    level = float(np.mean(products))
+    met = 0
+    for draft in drafts:
+        draft.cap = Caps(level, directions, 1)
+        size = directions**BLOCKS
+        a, b = (rows_ * size + word for rows_, word in (draft.passed(x), draft.passed(y)))
+        met += len(np.unique(np.intersect1d(a, b) // size))
+    share = min(met / (TRIAL_PAIRS * TRIAL_CODES), 1 - 1e-6)
+    codes = math.ceil(math.log(1 - recall) / math.log(1 - max(share, 1e-3)))
+    return Caps(level, directions, max(2, codes))
+
+
 def _unit(cells: pd.Series) -> np.ndarray:
     vectors = np.array([np.asarray(c, np.float64) for c in cells])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -166,24 +190,27 @@ def near_duplicates(
     ).agg(F.max("rows").alias("rows")).first()["rows"] or 1
 
     def filters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes: dict[int, Code] = {}
+        known: dict[int, list[Code]] = {}
         for frame in frames:
             for dim, part in frame.groupby("dim"):
-                if dim not in codes:
-                    codes[dim] = Code(dim, caps(largest, dim, cosine, recall))
+                if dim not in known:
+                    cap = caps(largest, dim, cosine, recall)
+                    known[dim] = [Code(dim, cap, i) for i in range(cap.codes)]
                 for start in range(0, len(part), 512):
                     some = part[start:start + 512]
                     unit = _unit(some["embedding"])
                     brief = np.array(_brief(unit), object)
-                    at, word = codes[dim].passed(unit)
-                    yield pd.DataFrame({
-                        "label": some["label"].to_numpy()[at], "dim": dim, "word": word,
-                        "id": some["id"].to_numpy()[at], "payload": brief[at],
-                    })
+                    for number, code in enumerate(known[dim]):
+                        at, word = code.passed(unit)
+                        yield pd.DataFrame({
+                            "label": some["label"].to_numpy()[at], "dim": dim,
+                            "code": number, "word": word,
+                            "id": some["id"].to_numpy()[at], "payload": brief[at],
+                        })
 
     met = sets.select("id", "label", "dim", "embedding").mapInPandas(
-        filters, "label long, dim int, word long, id long, payload binary"
-    ).select(F.xxhash64("label", "dim", "word").alias("gid"), "id", "payload")
+        filters, "label long, dim int, code int, word long, id long, payload binary"
+    ).select(F.xxhash64("label", "dim", "code", "word").alias("gid"), "id", "payload")
     found = blockwise(met, _may_link(cosine), "u long, v long, links long")
     candidates = components(found.select("u", "v")).select(
         F.col("node").alias("id"), F.col("component").alias("gid")

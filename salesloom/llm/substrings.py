@@ -217,7 +217,7 @@ def _anchor_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def _stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _stretches(frames: Iterator[pd.DataFrame], hot: int) -> Iterator[pd.DataFrame]:
     """Stretches around the anchors that fit a shard."""
     for frame in frames:
         rows = []
@@ -225,19 +225,19 @@ def _stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_of(text)
             rows += [
                 (doc, r["anchor"], r["first"], b" ".join(words[r["first"]:r["last"] + WINDOW]))
-                for r in runs if r["n"] <= HOT_ANCHOR
+                for r in runs if r["n"] <= hot
             ]
         yield pd.DataFrame(rows, columns=["id", "anchor", "first", "words"])
 
 
-def _hot_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hot_windows(frames: Iterator[pd.DataFrame], hot: int) -> Iterator[pd.DataFrame]:
     """The single windows of the other anchors, with a 128-bit hash of their words."""
     for frame in frames:
         rows = []
         for doc, text, runs in zip(frame["id"], frame["text"], frame["runs"], strict=True):
-            hot = [r for r in runs if r["n"] > HOT_ANCHOR]
-            words = words_of(text) if hot else []
-            for r in hot:
+            often = [r for r in runs if r["n"] > hot]
+            words = words_of(text) if often else []
+            for r in often:
                 for at in range(r["first"], r["last"] + 1):
                     value = xxhash.xxh3_128_digest(b" ".join(words[at:at + WINDOW]))
                     rows.append((doc, at, value))
@@ -261,7 +261,9 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "n_removed", "kept_sha256", "kept_text"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(
+    docs: DataFrame, hot: int = HOT_ANCHOR, per_shard: int = SHARD_STRETCHES
+) -> DataFrame:
     """Remove every word covered by a window of WINDOW words that also starts elsewhere.
 
     Returns per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256
@@ -299,18 +301,19 @@ def repeats(docs: DataFrame) -> DataFrame:
         keyed.select("dk", "th", "text").join(wanted, ["dk", "th"])
         .dropDuplicates(["dk", "th"]).select("id", "copies", "text", "runs"), "stretches",
     )
-    cold = F.exists("runs", lambda r: r["n"] <= HOT_ANCHOR)
-    hot = F.exists("runs", lambda r: r["n"] > HOT_ANCHOR)
-    number = read.agg(F.sum(F.size(F.filter("runs", lambda r: r["n"] <= HOT_ANCHOR)))).first()[0]
-    shards = max(1, -(-(number or 0) // SHARD_STRETCHES))
+    fits = lambda r: r["n"] <= hot
+    number = read.agg(F.sum(F.size(F.filter("runs", fits)))).first()[0]
+    shards = max(1, -(-(number or 0) // per_shard))
     indexed = (
-        read.where(cold).select("id", "text", "runs")
-        .mapInPandas(_stretches, "id long, anchor long, first int, words binary")
+        read.where(F.exists("runs", fits)).select("id", "text", "runs")
+        .mapInPandas(lambda frames: _stretches(frames, hot), "id long, anchor long, first int, words binary")
         .groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
         .applyInPandas(_search, "id long, start long, end long")
     )
-    windows = stage(read.where(hot).select("id", "text", "runs").mapInPandas(
-        _hot_windows, "id long, start long, hash binary"
+    windows = stage(read.where(F.exists("runs", lambda r: ~fits(r))).select(
+        "id", "text", "runs"
+    ).mapInPandas(
+        lambda frames: _hot_windows(frames, hot), "id long, start long, hash binary"
     ), "windows")
     again = stage(
         windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "again"

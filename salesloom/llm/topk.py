@@ -73,7 +73,8 @@ class Index:
             d, v = dims[lo:hi], levels[lo:hi]
             rows = [self.segments[x] for x in (d * LEVELS + v).tolist()]
             gains = np.repeat(least[d, v].astype(float), self.sizes[d, v])
-            gained += np.bincount(np.concatenate(rows), gains, n)
+            if rows:
+                gained += np.bincount(np.concatenate(rows), gains, n)
             np.minimum.at(reached, d, np.where(upward[d, 0], v, LEVELS - 1 - v))
             if step < ROUNDS // 2 or step % 2 == 0 and hi < len(dims):
                 continue

@@ -29,9 +29,7 @@ def found(df):
 
 
 @pytest.mark.parametrize("hot", [256, 3])
-def test_equals_brute_force(documents, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT_ANCHOR", hot)
-    monkeypatch.setattr(substrings, "SHARD_STRETCHES", 16)
+def test_equals_brute_force(documents, hot):
     rng = random.Random(hot)
     word = lambda: f"w{rng.randrange(500)}"
     passages = [[word() for _ in range(n)] for n in (34, 35, 36, 60, 120)]
@@ -45,7 +43,7 @@ def test_equals_brute_force(documents, monkeypatch, hot):
         texts.append(" ".join(x for p in parts for x in p))
     texts += [texts[0]] * 3 + ["a " * 90, "a b " * 40]
     rows = list(enumerate(texts))
-    got = substrings.repeats(documents(rows))
+    got = substrings.repeats(documents(rows), hot, 16)
     assert found(got) == brute(rows)
     for r in got.collect():  # the text that stays is what the hash says
         if r.kept_text is not None:
