@@ -292,8 +292,11 @@ def repeats(
     places = texts.select("id", "anchors", "first", "last").mapInPandas(
         _anchor_rows, "id long, anchor long, first int, last int"
     )
-    often = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    runs = places.join(often, "anchor").groupBy("id").agg(
+    often = stage(
+        places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often"
+    )
+    total = often.agg(F.sum("n")).first()[0] or 0
+    runs = join_hot(places, often, "anchor", "n", total).groupBy("id").agg(
         F.collect_list(F.struct("anchor", "n", "first", "last")).alias("runs")
     )
     wanted = runs.join(texts.select("id", "dk", "th", "copies"), "id")
