@@ -28,8 +28,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the model learns from ``labels``."""
     ship(spark)
-    rows = toxicity.training_rows(docs, table(spark, sf_dir, "labels"))
-    return toxicity.keep_ordinary(docs, toxicity.fit(rows))
+    return toxicity.keep_ordinary(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

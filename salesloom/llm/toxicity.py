@@ -131,11 +131,15 @@ def _own_words(mine: list[str], other: list[str]) -> list[bytes]:
     return [f" {t} ".encode() for t in kept if len(t) > 6]
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
+def fit(
+    rows: list[tuple[str | None, int]], sizes: tuple[int, int] | None = None
+) -> Model:
     """A model from (text, label) rows. One class alone gives a constant score.
 
     Texts without a word teach nothing. Even rows train the dictionaries, odd rows set
-    the thresholds, so the order of rows should be random.
+    the thresholds, so the order of rows should be random. ``sizes`` are the numbers of
+    ordinary and toxic rows that ``rows`` were drawn from: each class weighs as much as it
+    has rows there, so the cut does not depend on how many of them were drawn.
     """
     classes = [[t for t, y in rows if y == label and t and t.split()] for label in (0, 1)]
     ordinary, toxic = classes
@@ -154,27 +158,53 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     held = [(t, y) for y in (0, 1) for t in classes[y][1::2]]
     x = np.array([model.features(t) for t, _ in held])
     y = np.array([y for _, y in held], float)
-    model.center, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = _logistic((x - model.center) / model.scale, y)
+    sizes = [max(n, len(c)) for n, c in zip(sizes or (0, 0), classes, strict=True)]
+    weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
+    weight /= weight.mean()
+    model.center = np.average(x, axis=0, weights=weight)
+    model.scale = np.sqrt(np.average((x - model.center) ** 2, axis=0, weights=weight)) + 1e-9
+    model.weights = _logistic((x - model.center) / model.scale, y, weight)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+def _logistic(
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2
+) -> np.ndarray:
+    """Ridge logistic regression of weighted rows (1 on average) by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     penalty = ridge * len(x) * np.eye(x.shape[1]) / 10
     penalty[0, 0] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + penalty
-        step = np.linalg.solve(hessian, x.T @ (p - y) + penalty @ w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """The labels to learn from: (doc_id, label)."""
+    return labels.where("toxic in (0, 1) and doc_id is not null").select(
+        "doc_id", F.col("toxic").alias("label")
+    ).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def class_sizes(docs: DataFrame, labels: DataFrame) -> tuple[int, int]:
+    """Ordinary and toxic rows with words that the sample is drawn from, all counted."""
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike(r"(?U)\S")).groupBy(
+        "doc_id"
+    ).agg(F.count("*").alias("rows"))
+    marks = _known(labels).groupBy("doc_id", "label").agg(F.count("*").alias("marks"))
+    found = marks.join(rows, "doc_id").groupBy("label").agg(
+        F.sum(F.col("rows") * F.col("marks")).alias("n")
+    ).collect()
+    sizes = {r["label"]: r["n"] for r in found}
+    return sizes.get(0, 0), sizes.get(1, 0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, int]]:
     """The bounded labelled sample, in an order given by a hash.
 
@@ -182,9 +212,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None,
     rows of each class by the hash of doc_id are taken; null labels and null texts teach
     nothing.
     """
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select(
-        "doc_id", F.col("toxic").alias("label")
-    ).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    known = _known(labels)
     picked = [
         known.where(F.col("label") == y)
         .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(2 * SAMPLE_PER_CLASS)
@@ -201,6 +229,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None,
     return [(r.text, r.label) for r in rows]
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on the sample of the labelled rows that are not held out, at their true odds."""
+    return fit(training_rows(docs, labels), class_sizes(docs, labels))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text) over its whole text.
 
@@ -237,4 +270,4 @@ def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled rows that are not held out, score all rows."""
-    return score(docs, fit(training_rows(docs, labels)))
+    return score(docs, learn(docs, labels))

@@ -92,3 +92,14 @@ def test_keep_ordinary_keeps_all_columns(spark, documents, rows, model):
     assert {r.doc_id for r in kept.collect()} == {
         i for i, t, _ in rows[400:460] if model.score(t) < 0.5
     } | ({None} if model.score(None) < 0.5 else set())
+
+
+def test_the_cap_does_not_move_the_cut(spark, documents, monkeypatch):
+    rng = random.Random(5)
+    table = [(i, text(rng, 60, False), int(i % 10 == 0)) for i in range(1200)]  # nothing tells the classes apart
+    docs = documents([(i, t) for i, t, _ in table])
+    labels = spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, toxic int")
+    for cap in (5_000, 80):
+        monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", cap)
+        scores = [r.score for r in toxicity.toxicity(docs, labels).collect()]
+        assert abs(sum(scores) / len(scores) - 0.1) < 0.04, cap
