@@ -3,13 +3,15 @@
 A page is cut into blocks at its block elements. The first pass decides blocks on their
 own: by the elements around them, link density, length and stop-word density. Short and
 unclear blocks stay open and in the second pass inherit the label of the nearest decided
-neighbours.
+neighbours. Where little of a page's long text has known stop words (another language,
+tables, code), density tells nothing and length decides.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -58,10 +60,17 @@ STOP_WORDS = frozenset(
 LONG, DENSE = 70, 0.2
 #: More of a block in links than this makes it a list of links.
 LINKS = 0.5
+#: Density tells text from the rest if at least this part of the page's long text is dense;
+#: article and main exclude the rest if they hold at least this part of the page's text.
+SHARE = 0.25
+#: In a boilerplate element of these that is closed, an article is a teaser. Forms wrap pages.
+WRAPPERS = BOILERPLATE_TAGS - {"form"}
 
 GOOD, BAD, OPEN = 1, -1, 0
 _NAME = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Characters that say as much as two of an alphabet.
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -71,28 +80,66 @@ class Block:
     boilerplate: bool
     content: int  # number of the article or main element around, 0 for none
     parent: int  # number of the element that groups it with others
+    wrappers: tuple[int, ...] = ()  # numbers of the elements that make it a teaser if closed
 
-    def first_label(self, has_content: bool) -> int:
-        """The label that a block has by itself, OPEN if it is short or unclear."""
-        if self.boilerplate or has_content and not self.content:
+    @cached_property
+    def linked(self) -> bool:
+        return self.links > LINKS * len(self.text)
+
+    @cached_property
+    def long(self) -> bool:
+        size = len(self.text)
+        if size < LONG and not self.text.isascii():
+            size += len(_WIDE.findall(self.text))
+        return size >= LONG and _WORD.search(self.text) is not None
+
+    @cached_property
+    def dense(self) -> bool:
+        words = _WORD.findall(self.text.lower())
+        return sum(w in STOP_WORDS for w in words) >= DENSE * len(words)
+
+    def first_label(self, telling: bool) -> int:
+        """The label that a block has by itself, OPEN if it is short or unclear.
+
+        ``telling`` says whether density tells text from the rest on this page.
+        """
+        if self.boilerplate:
             return BAD
         if not self.content and self.text.startswith("©"):
             return BAD
-        if self.links > LINKS * len(self.text):
-            return OPEN if self.content else BAD
-        words = _WORD.findall(self.text.lower())
-        dense = sum(w in STOP_WORDS for w in words) >= DENSE * len(words)
-        if len(self.text) >= LONG and words:
-            if dense:
-                return GOOD
+        if self.linked:
             return OPEN if self.content else BAD
+        if self.long and (self.dense or not telling and not self.content):
+            return GOOD
         return OPEN
 
 
 def classify(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text."""
-    has_content = any(b.content and not b.boilerplate for b in blocks)
-    first = [b.first_label(has_content) for b in blocks]
+    plain = [b for b in blocks if not b.boilerplate and not b.linked]
+    long = [b for b in plain if b.long]
+    dense = sum(len(b.text) for b in long if b.dense)
+    first = [b.first_label(dense >= SHARE * sum(len(b.text) for b in long)) for b in blocks]
+    if any(b.content and not b.boilerplate for b in blocks):
+        inside = sum(len(b.text) for b in plain if b.content)
+        outside = sum(
+            len(b.text) for b, n in zip(blocks, first, strict=True) if n == GOOD and not b.content
+        )
+        if inside >= SHARE * (inside + outside):
+            first = [n if b.content else BAD for b, n in zip(blocks, first, strict=True)]
+    # Long blocks of a table or of code go with the text next to them, whatever menu or
+    # footer is nearer; then the others.
+    unclear = [
+        i for i, b in enumerate(blocks) if first[i] == OPEN and not b.content and b.long
+    ]
+    if unclear:
+        by_text = [OPEN if b.boilerplate else n for b, n in zip(blocks, first, strict=True)]
+        around = _nearest(blocks, by_text, range(len(blocks))), _nearest(
+            blocks, by_text, range(len(blocks) - 1, -1, -1)
+        )
+        for i in unclear:
+            found = {by_text[side[i]] for side in around if side[i] is not None}
+            first[i] = BAD if found == {BAD} else GOOD
     before = _nearest(blocks, first, range(len(blocks)))
     after = _nearest(blocks, first, range(len(blocks) - 1, -1, -1))
     out = []
@@ -138,6 +185,8 @@ class _Blocks(HTMLParser):
         self.parts: list[str] = []
         self.links = self.count = 0
         self.comments: set[int] = set()  # numbers of the elements that hold comments
+        self.wrappers: set[int] = set()  # and of those that make an article a teaser
+        self.closed: set[int] = set()  # elements with an end tag of their own
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -145,7 +194,8 @@ class _Blocks(HTMLParser):
             blocks = [e for e in self.open if e[0] in BLOCK_TAGS or not e[0]]
             _, _, boilerplate, content, _, _ = blocks[-1]
             group = next(e[5] for e in reversed(blocks) if e[0] not in TEXT_TAGS)
-            self.blocks.append(Block(text, self.links, boilerplate, content, group))
+            around = tuple(e[5] for e in self.open if e[5] in self.wrappers)
+            self.blocks.append(Block(text, self.links, boilerplate, content, group, around))
         self.parts, self.links = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -175,6 +225,8 @@ class _Blocks(HTMLParser):
             tag, silent or hidden or tag in SILENT_TAGS, boilerplate or named, content,
             link or tag == "a", self.count,
         ))
+        if tag in WRAPPERS:
+            self.wrappers.add(self.count)
         if named and tag not in BOILERPLATE_TAGS and names & {"comment", "comments", "respond"}:
             self.comments.add(self.count)
 
@@ -204,6 +256,7 @@ class _Blocks(HTMLParser):
             self.flush()
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
+                self.closed.add(self.open[i][5])
                 del self.open[i:]
                 return
             if self.open[i][0] in CONTENT_TAGS and tag not in ("body", "html"):
@@ -225,8 +278,14 @@ def main_text(html: str | None) -> str:
     parser.feed(html.replace("<![", "<! ["))  # marked sections are not HTML
     parser.close()
     parser.flush()
-    labels = classify(parser.blocks)
-    return "\n".join(b.text for b, good in zip(parser.blocks, labels, strict=True) if good)
+    blocks = [
+        replace(b, boilerplate=True) if not parser.closed.isdisjoint(b.wrappers) else b
+        for b in parser.blocks
+    ]
+    labels = classify(blocks)
+    if not any(labels):  # the page has nothing but what stands in such elements
+        labels = classify(parser.blocks)
+    return "\n".join(b.text for b, good in zip(blocks, labels, strict=True) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:

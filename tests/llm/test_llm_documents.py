@@ -108,6 +108,26 @@ def test_open_blocks_inherit_from_the_nearest_decided():
     assert labels == [False, False, True, True, True, False, False]
 
 
+RU = "Кошка сидела на коврике, и это был хороший день для всех людей, которые пришли посмотреть на неё в город."
+ZH = "今天天气很好，许多人来到城里看那只坐在垫子上的猫，大家都觉得这是美好的一天，晚上才回家。"
+NAMES = "Anna Berg, Otto Lindqvist, Mia Castellano, Jean Dupuis, Hugo Wirtz, Nora Quist, Ivo Marek"
+MENU = "<div><a href=a>One</a> <a href=b>Two</a></div>"
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f"<nav>x</nav>{MENU}<div><p>{RU}<p>{RU}</div>{MENU}<footer>{RU}</footer>", f"{RU}\n{RU}"),
+    (f"<nav>x</nav><div><p>{ZH}<p>{ZH}</div><footer>y</footer>", f"{ZH}\n{ZH}"),
+    (f"<nav>x</nav><div><p>{TEXT}</p><table><tr><td>{NAMES}<tr><td>{NAMES}<tr><td>{NAMES}</table></div><footer>y</footer>",
+     "\n".join([TEXT] + [NAMES] * 3)),
+    (f"<div><p>{TEXT}<p>{TEXT}</div><aside><article><p>{TEXT} Teaser.</article></aside>", f"{TEXT}\n{TEXT}"),
+    (f"<div>{f'<p>{TEXT}' * 9}</div><article><p>Teaser</article>", "\n".join([TEXT] * 9 + ["Teaser"])),
+    (f"<aside>buy<article><p>{TEXT}</article>", TEXT),  # never closed
+    (f"<aside><article><p>{TEXT}</article></aside>", TEXT),  # all there is
+])
+def test_main_text_without_known_words_or_article(html, want):
+    assert pages.main_text(html) == want
+
+
 def test_pages_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None), (2, "v", f"<article>{'<p>' + TEXT}" * 3_000)]
     found = pages.extract(clashing(spark.createDataFrame(rows, "page_id long, url string, html string")))
