@@ -31,6 +31,8 @@ BUCKET, PER_CODE = 64, 2.5
 BLOCKS = 2
 #: Pairs and codes that the number of codes is worked out from.
 TRIAL_PAIRS, TRIAL_CODES = 2_000, 4
+#: Sums of inner products that are held at once.
+CELLS = 1 << 21
 SEED = 93
 
 
@@ -63,8 +65,16 @@ class Code:
     def passed(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (row, codeword) with an inner product of at least the level.
 
-        Blocks are taken in turn; a prefix that the best rest cannot lift is left out.
+        Rows are taken so many at a time that their sums fit CELLS.
         """
+        step = max(1, CELLS // self.cap.directions ** len(self.parts))
+        found = [self._passed(unit[i:i + step]) for i in range(0, len(unit), step)]
+        rows = [at + i * step for i, (at, _) in enumerate(found)]
+        empty = np.zeros(0, np.int64)
+        return np.concatenate([empty, *rows]), np.concatenate([empty, *[w for _, w in found]])
+
+    def _passed(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks are taken in turn; a prefix that the best rest cannot lift is left out."""
         scores = self.scores(unit)
         best = [s.max(axis=1) for s in scores]
         rows = np.arange(len(unit))
@@ -79,6 +89,35 @@ class Code:
         return rows, word
 
 
+def _level(code: Code, unit: np.ndarray, passes: float) -> float:
+    """The inner product that the part ``passes`` of all (row, codeword) reaches.
+
+    It is the quantile of all of them, found in fixed memory: only the largest ones are
+    kept, and a prefix that cannot lead to one of them is left out.
+    """
+    size = len(unit) * code.cap.directions ** len(code.parts)
+    place = (size - 1) * (1 - passes)
+    count = size - math.floor(place)
+    top, cut = np.zeros(0), -math.inf
+    step = max(1, CELLS // code.cap.directions ** len(code.parts))
+    for start in range(0, len(unit), step):
+        *first, last = code.scores(unit[start:start + step])
+        total = np.zeros((len(last), 1))
+        for score in first:
+            total = (total[:, :, None] + score[:, None, :]).reshape(len(last), -1)
+        rows, at = np.nonzero(total + last.max(axis=1)[:, None] >= cut)
+        some = max(1, CELLS // last.shape[1])
+        for i in range(0, len(rows), some):
+            r, c = rows[i:i + some], at[i:i + some]
+            sums = total[r, c][:, None] + last[r]
+            top = np.concatenate([top, sums[sums >= cut]])
+            if len(top) > count:
+                top = np.partition(top, len(top) - count)[-count:]
+                cut = top.min()
+    low, high = np.sort(top)[:2] if count > 1 else (top.max(), top.max())
+    return float(low + (high - low) * (place - math.floor(place)))
+
+
 @lru_cache(maxsize=64)
 def caps(rows: int, dim: int, cosine: float, recall: float) -> Caps:
     """Filters for labels of up to ``rows`` vectors: selective enough, and enough of them.
@@ -86,7 +125,8 @@ def caps(rows: int, dim: int, cosine: float, recall: float) -> Caps:
     A filter shall let BUCKET of ``rows`` vectors pass. What level that takes, and how
     often two vectors at the cosine share a filter of one code, is found by trying random
     pairs: the codes are rotated at random, so the chance is the same for every pair, and
-    codes miss a pair independently of each other.
+    codes miss a pair independently of each other. Takes fixed memory and is worked out on
+    the driver; the tasks get the result.
     """
     passes = min(0.25, BUCKET / max(rows, 1))
     directions = max(2, math.ceil((PER_CODE / passes) ** (1 / BLOCKS)))
@@ -97,13 +137,7 @@ def caps(rows: int, dim: int, cosine: float, recall: float) -> Caps:
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * z
     drafts = [Code(dim, Caps(0, directions, 1), 1_000_000 + i) for i in range(TRIAL_CODES)]
-    products = []
-    for draft in drafts:
-        total = np.zeros((len(x), 1))
-        for score in draft.scores(x):
-            total = (total[:, :, None] + score[:, None, :]).reshape(len(x), -1)
-        products.append(np.quantile(total, 1 - passes))
-    level = float(np.mean(products))
+    level = float(np.mean([_level(draft, x, passes) for draft in drafts]))
     met = 0
     for draft in drafts:
         draft.cap = Caps(level, directions, 1)
@@ -185,16 +219,21 @@ def near_duplicates(
         ).withColumn("id", F.monotonically_increasing_id())
         .withColumn("dim", F.size("embedding")), "sets",
     )
-    largest = sets.groupBy("label", "dim").count().groupBy("dim").agg(
+    sizes = {r["dim"]: r["rows"] for r in sets.groupBy("label", "dim").count().groupBy("dim").agg(
         F.max("count").alias("rows")
-    ).agg(F.max("rows").alias("rows")).first()["rows"] or 1
+    ).collect()}
+    largest = max([1, *sizes.values()])
+    # A vector alone with its label and length has nothing to meet.
+    filter_caps = {dim: caps(largest, dim, cosine, recall) for dim, n in sizes.items() if n > 1}
 
     def filters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, list[Code]] = {}
         for frame in frames:
             for dim, part in frame.groupby("dim"):
+                if dim not in filter_caps:
+                    continue
                 if dim not in known:
-                    cap = caps(largest, dim, cosine, recall)
+                    cap = filter_caps[dim]
                     known[dim] = [Code(dim, cap, i) for i in range(cap.codes)]
                 for start in range(0, len(part), 512):
                     some = part[start:start + 512]
