@@ -32,14 +32,19 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest doc_id."""
+    """One document of each class of near duplicates: the one with the smallest doc_id.
+
+    Documents without words are near nothing and all stay.
+    """
     ship(spark)
     stays = jaccard.join(docs).where("kept").select(
         F.col("dk").alias("_dk"), F.col("th").alias("_th")
     )
-    return _keyed(docs).join(stays.distinct(), ["_dk", "_th"]).dropDuplicates(
+    worded = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+    first = _keyed(docs).where(worded).join(stays.distinct(), ["_dk", "_th"]).dropDuplicates(
         ["_dk", "_th"]
     ).select(*docs.columns)
+    return first.unionByName(docs.where(~worded))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -263,25 +263,26 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
         F.sum("links").alias("links")
     )
     member = stage(components(verified.where("u <> v").select("u", "v")).join(
-        sets.select(F.col("id").alias("node"), "doc_id"), "node"
+        sets.select(F.col("id").alias("node"), who.alias("who")), "node"
     ), "members")
-    first = member.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    first = member.groupBy("component").agg(F.min("who").alias("first"))
     classes = join_salted(member, first, "component", "node").select(
-        F.col("node").alias("id"), "class_id"
+        F.col("node").alias("id"), F.col("first.doc_id").alias("class_id"),
+        (F.col("who") == F.col("first")).alias("is_first"),
     )
     known = stage(
         sets.select("id", "digest", "weight", "doc_id", "dk", "th")
         .join(classes, "id", "left").join(links, "id", "left")
         .select(
             "digest", "weight", F.col("dk").alias("rep_dk"), F.col("th").alias("rep_th"),
-            F.coalesce("class_id", "doc_id").alias("class_id"), F.col("doc_id").alias("rep"),
+            F.coalesce("class_id", "doc_id").alias("class_id"),
+            F.coalesce("is_first", F.lit(True)).alias("is_first"),
             (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         ), "known",
     )
     worded = rows.where("digest is not null").select("doc_id", "dk", "th", "digest")
     stands = (
-        F.col("rep").eqNullSafe(F.col("class_id"))
-        & (F.col("dk") == F.col("rep_dk")) & (F.col("th") == F.col("rep_th"))
+        F.col("is_first") & (F.col("dk") == F.col("rep_dk")) & (F.col("th") == F.col("rep_th"))
     )
     linked = join_hot(worded, known, "digest", "weight", rows.count()).select(
         "doc_id", "dk", "th", "class_id", "n_links", stands.alias("kept")

@@ -81,3 +81,16 @@ def test_stages_handle_odd_rows(spark, sf_dir):
                 assert n == 0, name
             elif name != "packing":
                 assert out.columns == docs.columns and n > 0, name
+
+
+def test_one_document_of_a_class_stays_and_all_without_words(spark, documents):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(999)}" for _ in range(300)]
+    near = [" ".join([*words, last]) for last in ("x", "y", "z")]
+    blank = [(None, None), (None, None), (None, ""), (3, ""), (3, ""), (4, " \n")]
+    for rows in ([(1, near[0]), (1, near[1]), (2, near[2])], [(None, near[0]), (None, near[1])]):
+        got = corpus_pipeline.distinct(spark, documents([*rows, rows[0], *blank, (9, "a b")]), "").collect()
+        kept = [(r.doc_id, r.text) for r in got]
+        assert Counter(k for k in kept if k[1] not in near) == Counter([*blank, (9, "a b")])
+        (stays,) = [k for k in kept if k[1] in near]
+        assert stays in rows[:2]
