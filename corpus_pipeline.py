@@ -66,17 +66,21 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The document at which a source's quota ends is taken whole.
     """
-    same = Window.partitionBy("doc_id", "text_key").orderBy("at")
-    plan = mixing.mix(docs).where("copies > 0").withColumn("_n", F.row_number().over(same))
+    same = Window.partitionBy("source", "doc_id", "text_key").orderBy("at")
+    plan = mixing.mix(docs).withColumn("_n", F.row_number().over(same)).where("copies > 0")
     plan = stage(plan, "mix").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "_n",
+        F.col("source").alias("_source"), F.col("doc_id").alias("_id"),
+        F.col("text_key").alias("_text"), "_n",
         *[F.col(c).alias(f"_{c}") for c in ("at", "copies", "source_size", "quota", "tilt")],
     )
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    number = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("source"))
+    number = F.row_number().over(
+        Window.partitionBy("source", "doc_id", "_key").orderBy(F.xxhash64(*docs.columns))
+    )
     rows = docs.withColumn("_key", key).withColumn("_row", number)
     joined = rows.join(
-        plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))
+        plan, F.col("source").eqNullSafe(F.col("_source"))
+        & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))
         & (F.col("_row") == F.col("_n")),
     ).withColumn("_take", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     share = (F.col("_take") * F.col("_source_size") + F.col("_at")).cast("double") / F.greatest(

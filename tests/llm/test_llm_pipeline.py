@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from salesloom.llm import jaccard, substrings
+from salesloom.llm import jaccard, mixing, substrings
 from salesloom.llm.queries import ORACLE, QUERIES
 from tools.check_oracle import canonical
 
@@ -94,3 +94,13 @@ def test_one_document_of_a_class_stays_and_all_without_words(spark, documents):
         assert Counter(k for k in kept if k[1] not in near) == Counter([*blank, (9, "a b")])
         (stays,) = [k for k in kept if k[1] in near]
         assert stays in rows[:2]
+
+
+def test_copies_go_to_the_rows_of_their_source(spark, documents):
+    rows = [(i, f"w{i} " * 10, "en", s) for i in range(60) for s in ("a", "b", None)] + [(5, "w5 " * 10, "en", "a")]
+    docs = documents(rows)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.source, r.doc_id] += r.copies
+    got = Counter((r.source, r.doc_id) for r in corpus_pipeline.mixed(spark, docs, "").collect())
+    assert got == +want
