@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    embeddings, jaccard, language, mixing, packing, pages, sharding, substrings, topk, toxicity,
+    alignment, embeddings, jaccard, language, maxent, merkle, mixing, packing, pages, sharding,
+    substrings, topk, toxicity,
 )
 from .common import ship, table
 
@@ -153,3 +154,26 @@ def op6_substring_dedup(spark, d):
     return substrings.repeats(table(spark, d, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
+
+
+@query
+def op11_alignment(spark, d):
+    import public_tokenizers
+
+    return alignment.align(
+        table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+@query
+def op12_manifest(spark, d):
+    return merkle.manifest(table(spark, d, "documents")).drop("lang")
+
+
+ORACLE["op12_manifest"] = merkle.oracle()
+
+
+@query
+def op13_scoring(spark, d):
+    return maxent.score(table(spark, d, "documents"))
