@@ -35,10 +35,11 @@ from .common import _parts, join_hot, stage
 FRAGMENT_BYTES = 1 << 16
 #: Fragments that one step of the tree composes.
 FAN = 8
-#: Links of a block of documents, beyond which a new one begins.
-BLOCK_LINKS = 1 << 20
-#: Units that a worker remembers, and bytes of text that it handles at once.
-REMEMBERED, PART_BYTES = 1 << 18, 8 << 20
+#: Units of a block of documents, beyond which a new one begins.
+BLOCK_UNITS = 1 << 18
+#: Units that a worker remembers, bytes of text that it handles at once, and units that one
+#: call of the tokenizers encodes.
+REMEMBERED, PART_BYTES, CALL_UNITS = 1 << 16, 1 << 20, 2_048
 
 # A space ends a unit unless white space (ASCII, then Unicode in UTF-8) stands before it.
 _CUT = re.compile(
@@ -110,46 +111,78 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        #: Per unit: tokens of a and b, groups, links, and whether the bytes agree.
-        self.numbers = np.zeros((0, 5), np.int64)
         self.groups: list[bytes] = []
-        self.pairs = np.zeros(0, self.kind)
-        self.starts = np.zeros(1, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self._numbers = np.zeros((0, 5), np.int64)
+        self._pairs = np.zeros(0, self.kind)
+        self._starts = np.zeros(1, np.int64)
+
+    def _settle(self) -> None:
+        """Put what was learnt bit by bit into whole arrays."""
+        if self.parts:
+            self._numbers = np.concatenate([self._numbers, *(n for n, _ in self.parts)])
+            self._pairs = np.concatenate([self._pairs, *(p for _, p in self.parts)])
+            self._starts = np.r_[0, np.cumsum(self._numbers[:, 3])]
+            self.parts = []
+
+    @property
+    def numbers(self) -> np.ndarray:
+        """Per unit: tokens of a and b, groups, links, and whether the bytes agree."""
+        self._settle()
+        return self._numbers
 
     def look_up(self, wanted: list[bytes]) -> np.ndarray:
         """Numbers of units, after learning those that are new."""
-        fresh = [u for u in dict.fromkeys(wanted) if u not in self.known]
-        if fresh:
-            self._learn(fresh)
-        return np.fromiter(map(self.known.__getitem__, wanted), np.int64, count=len(wanted))
+        known = self.known
+        fresh = [u for u in dict.fromkeys(wanted) if u not in known]
+        for start in range(0, len(fresh), CALL_UNITS):
+            self._learn(fresh[start:start + CALL_UNITS])
+        return np.fromiter(map(known.__getitem__, wanted), np.int64, count=len(wanted))
+
+    def _encode(self, units: list[bytes]) -> tuple[list[int], list[int]] | None:
+        """Ids of units one after another; None if their bytes are not given back."""
+        span = b" " + b" ".join(units)
+        text = span.decode()
+        a = self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.space]
+        if b"".join([self.bytes_a[i] for i in a]) == span == b"".join([self.bytes_b[i] for i in b]):
+            return a, b
+        return None
 
     def _learn(self, fresh: list[bytes]) -> None:
-        texts = [u.decode() for u in fresh]
-        ids_a = [e.ids for e in self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
-        ids_b = [x if t else [self.space] for x, t in zip(self.b.encode(texts, num_threads=1), texts, strict=True)]
-        fine = np.array([
-            b"".join([self.bytes_a[i] for i in x]) == b"".join([self.bytes_b[i] for i in y]) == b" " + u
-            for u, x, y in zip(fresh, ids_a, ids_b, strict=True)
-        ])
-        good = np.flatnonzero(fine)
-        numbers = np.zeros((len(fresh), 5), np.int64)
-        numbers[:, 4] = fine
-        groups = [b""] * len(fresh)
+        # Units that do not end in white space are encoded together: every space between
+        # them begins a unit.
+        plain = [u for u in fresh if u and not u.decode()[-1].isspace()]
+        together = self._encode(plain) if plain else None
+        if together is None:
+            good, alone = [], fresh
+        else:
+            good, alone = plain, [u for u in fresh if not u or u.decode()[-1].isspace()]
+        a, b = together or ([], [])
+        a, b, good, bad = list(a), list(b), list(good), []
+        for unit in alone:
+            found = self._encode([unit])
+            if found is None:
+                bad.append(unit)
+                continue
+            a += found[0]
+            b += found[1]
+            good.append(unit)
+        order = good + bad
+        numbers = np.zeros((len(order), 5), np.int64)
+        numbers[:len(good), 4] = 1
+        groups = [b""] * len(order)
         links = np.zeros(0, self.kind)
-        if len(good):
-            links = self._align(
-                [ids_a[i] for i in good], [ids_b[i] for i in good],
-                np.array([len(fresh[i]) + 1 for i in good]), good, numbers, groups,
-            )
-        self.known.update(zip(fresh, range(len(self.groups), len(self.groups) + len(fresh)), strict=True))
-        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(numbers[:, 3])]
-        self.numbers = np.r_[self.numbers, numbers]
+        if good:
+            links = self._align(a, b, np.array([len(u) + 1 for u in good]), numbers, groups)
+        self.known.update(zip(order, range(len(self.groups), len(self.groups) + len(order)), strict=True))
+        self.parts.append((numbers, links))
         self.groups += groups
-        self.pairs = np.r_[self.pairs, links]
 
-    def _align(self, ids_a, ids_b, sizes, good, numbers, groups) -> np.ndarray:
-        """Fill in ``numbers`` and ``groups`` of the units ``good``; their linked pairs."""
-        a, b = (np.concatenate([np.array(x, np.int64) for x in ids]) for ids in (ids_a, ids_b))
+    def _align(self, a, b, sizes, numbers, groups) -> np.ndarray:
+        """Fill in ``numbers`` and ``groups`` of the first units; all units' linked pairs."""
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        good = np.arange(len(sizes))
         # All units one after another: both sides cover the same bytes.
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         unit_ends = np.cumsum(sizes)
@@ -179,8 +212,8 @@ class Aligner:
         """The linked pairs of units, one after another."""
         sizes = self.numbers[found, 3]
         ends = np.cumsum(sizes)
-        shift = np.repeat(self.starts[found] - (ends - sizes), sizes)
-        return self.pairs[np.arange(len(shift)) + shift]
+        shift = np.repeat(self._starts[found] - (ends - sizes), sizes)
+        return self._pairs[np.arange(len(shift)) + shift]
 
 
 @lru_cache(maxsize=2)
@@ -265,31 +298,30 @@ class Fragment:
         return self._close(own, self.head, before=True)._close(own, self.tail or b"")
 
 
-def _document(own: Aligner, span: bytes) -> tuple[np.ndarray, str, np.ndarray]:
-    """Numbers, hash of the groups and linked pairs of a document of whole units."""
-    found = own.look_up(units(span))
-    totals = own.numbers[found].sum(axis=0)
-    if totals[4] < len(found):
-        return _NOTHING
-    text = b";".join([own.groups[i] for i in found.tolist()])
-    return totals[:4], hashlib.sha256(text).hexdigest(), own.gather(found)
-
-
-_NOTHING = np.zeros(4, np.int64), "", np.zeros(0, np.int64)
+_NO_LINKS = np.zeros(0, np.int64)
+_NOTHING = np.zeros(4, np.int64), ""
 
 _BLOCK = pa.schema([
     ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("numbers", pa.binary()),
-    ("sha", pa.list_(pa.string())), ("pairs", pa.binary()),
+    ("sha", pa.list_(pa.string())), ("sizes", pa.binary()), ("units", pa.binary()),
+    ("links", pa.binary()), ("pairs", pa.binary()),
 ])
-BLOCKS = "block long, doc_id array<long>, numbers binary, sha array<string>, pairs binary"
+BLOCKS = (
+    "block long, doc_id array<long>, numbers binary, sha array<string>, sizes binary, "
+    "units binary, links binary, pairs binary"
+)
 
 
-def _block(number: int, rows: list[tuple], kind: np.dtype) -> pa.RecordBatch:
-    """Documents (doc_id, numbers, sha, pairs) as one row."""
-    ids, numbers, sha, pairs = zip(*rows, strict=True)
+def _block(number: int, docs: list[tuple], sizes, units, links, pairs) -> pa.RecordBatch:
+    """Documents (doc_id, numbers, sha) as one row.
+
+    ``sizes`` says how many units each has, ``units`` numbers them within the block, and
+    each of the block's units has ``links`` of its ``pairs``.
+    """
+    ids, numbers, sha = zip(*docs, strict=True)
     cells = (
         number, list(ids), np.array(numbers, "<i8").tobytes(), list(sha),
-        np.concatenate(pairs).astype(kind).tobytes(),
+        *(np.asarray(x, "<u4").tobytes() for x in (sizes, units, links)), pairs.tobytes(),
     )
     return pa.RecordBatch.from_arrays(
         [pa.array([c], f.type) for c, f in zip(cells, _BLOCK, strict=True)], schema=_BLOCK
@@ -301,23 +333,39 @@ def _short(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(*paths)
-        task = TaskContext.get().partitionId() << 32
-        numbers, rows, links = count(task), [], 0
+        numbers = count(TaskContext.get().partitionId() << 32)
+        rows, sizes, found = [], [], []
+
+        def block() -> pa.RecordBatch:
+            units, place = np.unique(np.concatenate([*found, _NO_LINKS]), return_inverse=True)
+            return _block(next(numbers), rows, sizes, place, own.numbers[units, 3], own.gather(units))
+
         for batch in batches:
             for part in _parts(batch, PART_BYTES):
-                if len(own.known) > REMEMBERED:
-                    own.forget()
                 texts = part.column("text").to_pylist()
-                spans = [b" " + t.encode() if t else b"" for t in texts]
-                own.look_up([u for s in spans if s for u in units(s)])  # learn all new ones at once
-                for doc_id, span in zip(part.column("doc_id").to_pylist(), spans, strict=True):
-                    rows.append((doc_id, *(_document(own, span) if span else _NOTHING)))
-                    links += len(rows[-1][3])
-                    if links >= BLOCK_LINKS or len(rows) >= BLOCK_LINKS:
-                        yield _block(next(numbers), rows, own.kind)
-                        rows, links = [], 0
+                split = [units(b" " + t.encode()) if t else [] for t in texts]
+                at = own.look_up([u for s in split for u in s])
+                edges = np.cumsum([0, *map(len, split)])
+                sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(own.numbers[at], axis=0)])
+                sums = sums[edges[1:]] - sums[edges[:-1]]
+                names = list(map(own.groups.__getitem__, at.tolist()))
+                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                    low, high = edges[i], edges[i + 1]
+                    if low == high or sums[i, 4] < high - low:
+                        rows.append((doc_id, *_NOTHING))
+                        sizes.append(0)
+                        continue
+                    sha = hashlib.sha256(b";".join(names[low:high])).hexdigest()
+                    rows.append((doc_id, sums[i, :4], sha))
+                    sizes.append(high - low)
+                    found.append(at[low:high])
+                if sum(sizes) >= BLOCK_UNITS or len(rows) >= BLOCK_UNITS or len(own.known) > REMEMBERED:
+                    yield block()
+                    rows, sizes, found = [], [], []
+                    if len(own.known) > REMEMBERED:
+                        own.forget()
         if rows:
-            yield _block(next(numbers), rows, own.kind)
+            yield block()
 
     return docs.mapInArrow(align, BLOCKS)
 
@@ -372,12 +420,10 @@ def _long(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples():
                 f = _fragment(row).whole(own)
-                doc = (
-                    row.doc_id, f.numbers, hashlib.sha256(f.groups).hexdigest(),
-                    np.frombuffer(f.pairs, own.kind),
-                ) if f.fine else (row.doc_id, *_NOTHING)
-                doc_id = None if pd.isna(doc[0]) else int(doc[0])
-                yield _block(-1 - row.rid, [(doc_id, *doc[1:])], own.kind).to_pandas()
+                doc_id = None if pd.isna(row.doc_id) else int(row.doc_id)
+                pairs = np.frombuffer(f.pairs if f.fine else b"", own.kind)
+                what = (f.numbers, hashlib.sha256(f.groups).hexdigest()) if f.fine else _NOTHING
+                yield _block(-1 - row.rid, [(doc_id, *what)], [1], [0], [len(pairs)], pairs).to_pandas()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     raw = stage(numbered.mapInPandas(cut, "rid long, doc_id long, part long, raw binary"), "ranges")
@@ -394,11 +440,18 @@ def _long(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
 def _block_pairs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
     """Distinct pairs of each block and how often they are linked there."""
     for batch in batches:
-        for block, pairs in zip(batch.column("block").to_pylist(), batch.column("pairs"), strict=True):
-            found, links = np.unique(np.frombuffer(pairs.as_buffer(), kind), return_counts=True)
+        for row in batch.to_pylist():
+            pairs, links, places = (
+                np.frombuffer(row[c], k) for c, k in (("pairs", kind), ("links", "<u4"), ("units", "<u4"))
+            )
+            times = np.bincount(places, minlength=len(links))
+            found, at = np.unique(pairs, return_inverse=True)
+            number = np.bincount(at, weights=np.repeat(times, links), minlength=len(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(found), block)), pa.array(found.astype(np.int64)), pa.array(links.astype(np.int64))],
-                names=["block", "pair", "links"],
+                [
+                    pa.array(np.full(len(found), row["block"])), pa.array(found.astype(np.int64)),
+                    pa.array(number.astype(np.int64)),
+                ], names=["block", "pair", "links"],
             )
 
 
@@ -426,7 +479,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, fragment_bytes: int = FRAGM
         _short(rows.where(~long), paths).unionByName(_long(rows.where(long), paths, fragment_bytes)), "aligned"
     )
     pairs = stage(
-        blocks.select("block", "pairs").mapInArrow(lambda b: _block_pairs(b, kind), "block long, pair long, links long"),
+        blocks.select("block", "units", "links", "pairs").mapInArrow(lambda b: _block_pairs(b, kind), "block long, pair long, links long"),
         "pairs",
     )
     counts = stage(
@@ -447,10 +500,14 @@ def align(docs: DataFrame, path_a: str, path_b: str, fragment_bytes: int = FRAGM
         block = block.iloc[0]
         known = known.sort_values("pair")
         numbers = np.frombuffer(block["numbers"], "<i8").reshape(-1, 4)
+        sizes, units, links = (np.frombuffer(block[c], "<u4").astype(np.int64) for c in ("sizes", "units", "links"))
         at = np.searchsorted(known["pair"].to_numpy(), np.frombuffer(block["pairs"], kind).astype(np.int64))
-        edges = np.r_[0, np.cumsum(numbers[:, 3])]
-        sums = [np.r_[0, np.cumsum(known[c].to_numpy(np.int64)[at])] for c in ("best", "total")]
-        best, total = (s[edges[1:]] - s[edges[:-1]] for s in sums)
+
+        def added(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+            sums, ends = np.r_[0, np.cumsum(values)], np.cumsum(lengths)
+            return sums[ends] - sums[ends - lengths]
+
+        best, total = (added(added(known[c].to_numpy(np.int64)[at], links)[units], sizes) for c in ("best", "total"))
         ids = pd.array([None if pd.isna(i) else int(i) for i in block["doc_id"]], "Int64")
         return pd.DataFrame({
             "doc_id": ids, "n_a": numbers[:, 0], "n_b": numbers[:, 1], "n_groups": numbers[:, 2],
