@@ -1,4 +1,8 @@
 import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -15,8 +19,6 @@ from tools.check_oracle import canonical
 
 @pytest.fixture(scope="module")
 def sql(sf_dir):
-    from pathlib import Path
-
     con = duckdb.connect()
     for path in Path(sf_dir).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
@@ -58,3 +60,15 @@ def test_orphan_keys_leave_every_report_with_all_lines(spark, sf_dir, tmp_path):
         found = catalog.QUERIES[name](spark, d).agg({"ca_total": "sum"}).first()[0]
         assert found == pytest.approx(total)
     assert catalog.QUERIES["kpis"](spark, d).first()["ca_total"] == total
+
+
+def test_entry_without_the_optional_folders(tmp_path):
+    """A tree without the training-data folders imports and registers all the rest."""
+    root = Path(contract.__file__).resolve().parent
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    shutil.copytree(root / "salesloom", tmp_path / "salesloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.split()[-2:] == [str(len(catalog.QUERIES)), str(len(oracle.ORACLE))]
