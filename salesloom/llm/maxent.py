@@ -8,13 +8,14 @@ seen are one class, so rare and new words get the mass that leaving one occurren
 gives them. Inside a class of rare words only their counts tell them apart.
 
 Texts are read once into blocks of a few megabytes: the tokens of many documents as numbers
-into the block's own list of words. Counts come to the blocks by joins over (block, word);
+into the block's own list of words. Counts come to the blocks by one shuffle of these lists;
 after that, training and scoring read numbers only. Training goes in rounds: every task
 makes gradient steps on its blocks from the shared weights, the changes are averaged.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -23,9 +24,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import _parts, join_hot, stage
+from .common import _parts, stage
 
 #: Tokens of a block, beyond which a new one begins.
 BLOCK_TOKENS = 1 << 20
@@ -38,9 +39,9 @@ ROWS = 1 << 14
 #: Rounds over the training documents; each takes its share of every block.
 ROUNDS = 3
 #: Tokens of a gradient step, step size, and what the squared gradients start from.
-BATCH, RATE, START = 1 << 14, 0.15, 4.0
-#: Rows in which the changed weights travel.
-SLICES = 32
+BATCH, RATE, START = 1 << 14, 1.0, 4.0
+#: Rows in which the changed weights travel, and tokens that one task learns from before.
+SLICES, TASK_TOKENS = 32, 1 << 23
 #: Features of the history.
 FEATURES = 4
 NEW = 0  # the class of words never seen
@@ -59,6 +60,17 @@ _BLOCK = pa.schema([
     ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())),
     ("counts", pa.list_(pa.int64())),
 ])
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """Numbers below 2^32 as planes of bytes, the lowest first: the others hardly take space."""
+    return tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 BLOCKS = (
     "block long, doc_id array<long>, held array<boolean>, sizes array<long>, tokens binary, "
     "words array<string>, counts array<long>"
@@ -71,7 +83,7 @@ def _block(number: int, rows: list[tuple], words: Numbers) -> pa.RecordBatch:
     taught = [t for t, h in zip(tokens, held, strict=True) if not h] or [np.zeros(0, np.int32)]
     cells = (
         number, list(ids), list(held), [len(t) for t in tokens],
-        np.concatenate(tokens).astype("<i4").tobytes(), [w.decode() for w in words],
+        pack(np.concatenate(tokens)), [w.decode() for w in words],
         np.bincount(np.concatenate(taught), minlength=len(words)),
     )
     return pa.RecordBatch.from_arrays(
@@ -99,13 +111,15 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rare_class(times: Column) -> Column:
-    """A number from the power of two below a count and a word's ending; null for none."""
+    """A number from a count's size (1, 2 to 3, then powers of four) and a word's ending; null for none."""
+    bits = F.length(F.bin(times))
+    size = F.when(bits <= 2, bits).otherwise(F.floor((bits + 1) / 2) + 1)
     ending = (
         F.when(F.octet_length("word") != F.length("word"), 0)
         .when(F.substring("word", -1, 1).between("a", "m"), 1)
         .when(F.substring("word", -1, 1).between("n", "z"), 2).otherwise(3)
     )
-    return F.when(times > 0, F.length(F.bin(times)) * ENDINGS + ending)
+    return F.when(times > 0, size * ENDINGS + ending)
 
 
 @dataclass
@@ -128,14 +142,17 @@ class Model:
 
     @classmethod
     def untrained(cls, counts: DataFrame, tokens: int, vocabulary: int) -> Model:
-        """Classes and their shares of ``counts`` (word, c, own, loo, frequent); no weights yet."""
+        """Classes and their shares of ``counts`` (c, top, own, loo), a row a word; no weights yet."""
         # At most FREQUENT words, and as many classes as counts have bits, times ENDINGS.
-        top = counts.where("frequent").select("word", "c").collect()
-        top.sort(key=lambda r: (-r.c, r.word))
-        own = {r.own: r.n for r in counts.where("not frequent and c > 0").groupBy("own").agg(F.sum("c").alias("n")).collect()}
-        loo = {r.loo: r.n for r in counts.where("not frequent and c > 0").groupBy("loo").agg(F.sum("c").alias("n")).collect()}
+        top = counts.where("top is not null").select("top", "c").collect()
+        top.sort(key=lambda r: (-r.c, r.top))
+        shares = counts.where("top is null").groupBy("own", "loo").agg(F.sum("c").alias("n")).collect()
+        own, loo = Counter(), Counter()
+        for r in shares:
+            own[r.own] += r.n
+            loo[r.loo] += r.n
         rare = {name: i + 1 for i, name in enumerate(sorted((own.keys() | loo.keys()) - {None}))}
-        frequent = {r.word: i for i, r in enumerate(top)}
+        frequent = {r.top: i for i, r in enumerate(top)}
         groups = -(-len(top) // MEMBERS)
         members = np.zeros(groups * MEMBERS)
         members[:len(top)] = [r.c for r in top]
@@ -183,7 +200,7 @@ def _softmax(bias, table, rows, target):
     """Natural log of the target's chance per token, and chances minus the target."""
     logits = np.repeat(bias, rows.shape[1], axis=0) if len(bias) == 1 else bias.copy()
     for own in rows:
-        logits += table[own]
+        logits += table.take(own, axis=0)
     if not logits.size:
         return np.zeros(len(target), np.float32), logits
     at = np.arange(len(target))
@@ -197,17 +214,18 @@ def _softmax(bias, table, rows, target):
 
 
 def _descend(table: np.ndarray, squares: np.ndarray, gradient: np.ndarray, rows: np.ndarray) -> None:
-    """A step of the weights in ``rows``, shortened by the squares of all gradients so far."""
+    """A step of the weights in ``rows``, shortened by the squares of a row's gradients so far."""
     if not gradient.size:
         return
     for own in rows:
         order = np.argsort(own, kind="stable")
         sorted_rows = own[order]
         first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        sums = np.add.reduceat(gradient[order], first, axis=0)
+        sums = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
         touched = sorted_rows[first]
-        squares[touched] += sums**2
-        table[touched] -= RATE * sums / np.sqrt(squares[touched])
+        squares[touched] += np.einsum("ij,ij->i", sums, sums)
+        sums *= (RATE / np.sqrt(squares[touched]))[:, None]
+        table[touched] -= sums
 
 
 @dataclass
@@ -247,8 +265,8 @@ def _prepare(block: pd.DataFrame, known: pd.DataFrame, model: Model) -> pd.DataF
     known = known.sort_values("at")
     c = known["c"].to_numpy(np.int64)
     sizes = np.asarray(block["sizes"], np.int64)
-    tokens = np.frombuffer(block["tokens"], "<i4")
-    top = np.array([model.frequent.get(w, -1) for w in block["words"]])
+    tokens = unpack(block["tokens"])
+    top = np.array([-1 if w is None else model.frequent[w] for w in known["top"]])
     own, loo = (
         np.array([NEW if pd.isna(x) else model.rare[int(x)] for x in known[name]], np.int64)
         for name in ("own", "loo")
@@ -273,9 +291,9 @@ def _prepare(block: pd.DataFrame, known: pd.DataFrame, model: Model) -> pd.DataF
 def _ready(batch: pa.RecordBatch) -> Iterator[tuple[dict, Ready]]:
     for row in batch.to_pylist():
         yield row, Ready(
-            np.array(row["sizes"], np.int64), np.frombuffer(row["tokens"], "<i4"),
-            np.frombuffer(row["own"], "<i2").astype(np.int64), np.frombuffer(row["loo"], "<i2").astype(np.int64),
-            np.frombuffer(row["member"], "<i2").astype(np.int64), np.frombuffer(row["within"], "<f4"),
+            np.array(row["sizes"], np.int64), unpack(row["tokens"]),
+            np.frombuffer(row["own"], "<i2").astype(np.int32), np.frombuffer(row["loo"], "<i2").astype(np.int32),
+            np.frombuffer(row["member"], "<i2").astype(np.int32), np.frombuffer(row["within"], "<f4"),
         )
 
 
@@ -286,6 +304,9 @@ def train(ready: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     never do. What comes to the driver is one set of weights, of fixed size.
     """
     spark = ready.sparkSession
+    narrow = ready.select("held", "sizes", "tokens", "own", "loo", "member", "within").coalesce(
+        -(-model.train_tokens // TASK_TOKENS)
+    )
     width = model.outer.shape[1] + model.inner.shape[1]
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -294,7 +315,7 @@ def train(ready: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             own = shared.value
             outer, inner = own.outer.copy(), own.inner.copy()
             mine = Model(**{**own.__dict__, "outer": outer, "inner": inner})
-            squares = np.full_like(outer, START), np.full_like(inner, START)
+            squares = np.full((2, ROWS), START, np.float32)
             seen = 0
             for batch in batches:
                 for row, block in _ready(batch):
@@ -326,7 +347,7 @@ def train(ready: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             out = (total / frame["seen"].sum()).astype("<f4")
             return pd.DataFrame({"slice": frame["slice"].iloc[:1], "change": [out.tobytes()]})
 
-        changes = ready.select("held", "sizes", "tokens", "own", "loo", "member", "within").mapInArrow(
+        changes = narrow.mapInArrow(
             update, "slice long, seen long, change binary"
         ).groupBy("slice").applyInPandas(average, "slice long, change binary").collect()
         shared.destroy()
@@ -376,28 +397,28 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Model]:
     blocks = stage(
         docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(read, BLOCKS), "blocks"
     )
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
-        "block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n")
+    sizes = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    tokens = blocks.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0]
+    # One shuffle by word gives every block the counts of its words. No word is hot here: it
+    # has at most one row a block, among the many thousand of the block's other words.
+    everywhere = Window.partitionBy("w.words")
+    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
+        "block", "at", F.col("w.words").alias("word"), F.sum("w.counts").over(everywhere).alias("c"),
+        (F.min("block").over(everywhere) == F.col("block")).alias("first"),
     )
-    summed = stage(words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "counts")
-    tokens, vocabulary, total = summed.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("blocks"), F.lit(0))
-    ).first()
     frequent = (F.col("c") > 0) & (F.col("c") * FREQUENT >= tokens)
-    counts = summed.select(
-        "word", "c", "blocks", frequent.alias("frequent"),
-        _rare_class(F.col("c")).alias("own"), _rare_class(F.col("c") - 1).alias("loo"),
-    )
-    model = Model.untrained(counts, tokens, vocabulary)
+    rare = F.when(~frequent, F.col("c"))
+    known = stage(each.select(
+        "block", "at", "c", "first", F.when(frequent, F.col("word")).alias("top"),
+        _rare_class(rare).alias("own"), _rare_class(rare - 1).alias("loo"),
+    ), "counts")
+    vocabulary = known.where("first and c > 0").count()
+    model = Model.untrained(known.where("first and c > 0"), tokens, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rare = lambda name: F.when(~F.col("frequent"), F.col(name)).alias(name)
-    known = join_hot(
-        words.select("block", "at", "word"), counts.select("word", "c", "blocks", rare("own"), rare("loo")),
-        "word", "blocks", total,
-    ).select(F.col("block").alias("of"), "at", "c", "own", "loo")
     ready = stage(
-        blocks.drop("counts").groupBy("block").cogroup(known.groupBy("of"))
-        .applyInPandas(lambda b, k: _prepare(b, k, shared.value), _READY), "ready",
+        blocks.drop("counts", "words").groupBy("block").cogroup(
+            known.select(F.col("block").alias("of"), "at", "c", "top", "own", "loo").groupBy("of")
+        ).applyInPandas(lambda b, k: _prepare(b, k, shared.value), _READY), "ready",
     )
     return ready, train(ready, model, rounds) if tokens else model
 

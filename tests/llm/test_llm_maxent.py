@@ -46,7 +46,8 @@ def naive(model, counts, text):
         if not c:
             return maxent.NEW, -1, 0.0
         ending = 0 if not word.isascii() else 1 if "a" <= word[-1:] <= "m" else 2 if "n" <= word[-1:] <= "z" else 3
-        own = model.rare[c.bit_length() * maxent.ENDINGS + ending]
+        bits = c.bit_length()
+        own = model.rare[(bits if bits <= 2 else (bits + 1) // 2 + 1) * maxent.ENDINGS + ending]
         return own, -1, math.log(c) - model.log_total[own]
 
     past, out = [0, 0, 0], []
