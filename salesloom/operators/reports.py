@@ -171,23 +171,27 @@ CELLS = ("vendeur", "region")
 ITEMS = ("categorie", "produit")
 
 
-def report_groups(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def report_groups(
+    df: DataFrame, settings: Settings = Settings(), within: tuple[str, ...] = ()
+) -> DataFrame:
     """Everything the reports need, in one pass over the lines.
 
     Read one by one, the reports scan the lines seven times. GROUPING SETS over
     three grains expands each line inside codegen and aggregates partially
     before the only shuffle, whose size is the number of groups, not of lines.
     All coarser groupings and the totals are sums of these small groups.
+    With ``within``, the groups of each value of these columns, which add up to all.
     """
     out = is_excluded(F.col("statut"), settings)
     n = _lines(df)
     keys = [*MONTHS, *CELLS, *ITEMS]
     slim = df.select(
-        *keys, "ca_comptabilise", "remise_euros",
+        *within, *keys, "ca_comptabilise", "remise_euros",
         F.when(~out, n).otherwise(0).alias("active"),
         F.when(out, n).otherwise(0).alias("out"),
     )
-    return slim.groupingSets([list(MONTHS), list(CELLS), list(ITEMS)], *keys).agg(
+    sets = [[*within, *own] for own in (MONTHS, CELLS, ITEMS)]
+    return slim.groupingSets(sets, *within, *keys).agg(
         F.concat_ws("+", *[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys]).alias("grain"),
         F.sum("ca_comptabilise").alias("ca_comptabilise"),
         F.sum("remise_euros").alias("remise_euros"),

@@ -20,7 +20,7 @@ from ..sources import csv_files
 from ..sources.csv_files import union_by_name
 from ..sources.star import raw_sales, sales, sales_with_calendar, table
 from ..staging import staging_path
-from ..streaming import monthly
+from ..streaming import incremental, monthly
 from . import run, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -600,6 +600,39 @@ def stream_subfolders(spark, d):
     return monthly.stored_lines(spark, table_dir).select(*BUSINESS_COLUMNS)
 
 
+def _three_drops(spark, d):
+    """The state after three drops: copies lie in different drops, every drop has late lines."""
+    raw, folder = raw_sales(spark, d), staging_path(spark, "state")
+    turn = F.pmod(F.xxhash64(*raw.columns), F.lit(3))
+    for number in range(3):
+        state = incremental.add_drop(spark, raw.where(turn == number), folder, number)
+    return state
+
+
+@query
+def stream_dedupe(spark, d):
+    """Unique lines after three drops, each matched with the months that it touches."""
+    state = _three_drops(spark, d)
+    return incremental.unique_lines(state).select(*dedupe(spark, d).columns)
+
+
+@query
+def medians_incremental(spark, d):
+    """The three medians from sketches stored with each drop, and one counting pass."""
+    state = _three_drops(spark, d)
+    found = incremental.medians(state)
+    return cleaning.drop_null_date(incremental.unique_lines(state)).agg(
+        *[F.count(c).alias(f"nb_{c}") for c in NUMERIC_COLUMNS],
+        *[F.max(F.lit(found[c])).alias(f"mediane_{c}") for c in NUMERIC_COLUMNS],
+    )
+
+
+@query
+def reports_incremental(spark, d):
+    """All report groupings of the dirty lines, added up from the months of three drops."""
+    return _doubles(incremental.report_groups(_three_drops(spark, d)))
+
+
 @query
 def csv_roundtrip(spark, d):
     """Canonical lines written as CSV by month and read back with their types."""

@@ -241,7 +241,10 @@ SELECT annee, mois, mois_nom, vendeur, region, categorie, produit, statut, count
   CAST(sum(ca_net) AS DOUBLE) AS ca_net, CAST(sum(remise_euros) AS DOUBLE) AS remise_euros,
   CAST(sum(ca_comptabilise) AS DOUBLE) AS ca_comptabilise
 FROM enriched GROUP BY 1, 2, 3, 4, 5, 6, 7, 8""", "enriched")
-_register("report_groups", """
+
+
+def _groups(lines):
+    return f"""
 SELECT annee, mois, mois_nom, vendeur, region, categorie, produit,
   concat_ws('+', CASE WHEN grouping(annee) = 0 THEN 'annee' END, CASE WHEN grouping(mois) = 0 THEN 'mois' END,
     CASE WHEN grouping(mois_nom) = 0 THEN 'mois_nom' END, CASE WHEN grouping(vendeur) = 0 THEN 'vendeur' END,
@@ -250,9 +253,12 @@ SELECT annee, mois, mois_nom, vendeur, region, categorie, produit,
   CAST(sum(ca_comptabilise) AS DOUBLE) AS ca_comptabilise, CAST(sum(remise_euros) AS DOUBLE) AS remise_euros,
   count(*) FILTER (WHERE statut NOT IN ('Annulé', 'Retourné')) AS active,
   count(*) FILTER (WHERE statut IN ('Annulé', 'Retourné')) AS "out"
-FROM enriched
-GROUP BY GROUPING SETS ((annee, mois, mois_nom), (vendeur, region), (categorie, produit))""",
-          "enriched")
+FROM {lines}
+GROUP BY GROUPING SETS ((annee, mois, mois_nom), (vendeur, region), (categorie, produit))"""
+
+
+_register("report_groups", _groups("enriched"), "enriched")
+_register("reports_incremental", _groups("clean_enriched"), "clean_enriched")
 
 # ---------------------------------------------------------------- analytic columns
 
@@ -332,12 +338,14 @@ _UNREADABLE = "quantite_illisible, prix_unitaire_illisible, remise_illisible"
 _register("na_tokens", "SELECT * FROM raw", "raw")
 _register("parse_numbers", "SELECT * FROM parsed", "parsed")
 _register("dedupe", "SELECT * FROM uniq", "uniq")
+_register("stream_dedupe", "SELECT * FROM uniq", "uniq")
 _register("drop_null_date", "SELECT * FROM dated", "dated")
 _register("fill_text", "SELECT * FROM filled", "filled")
 _register("exact_medians", """
 SELECT count(quantite) AS nb_quantite, count(prix_unitaire) AS nb_prix_unitaire, count(remise) AS nb_remise,
   median(quantite) AS mediane_quantite, median(prix_unitaire) AS mediane_prix_unitaire,
   median(remise) AS mediane_remise FROM dated""", "dated")
+ORACLE["medians_incremental"] = ORACLE["exact_medians"]
 _register("impute_median", "SELECT * FROM imputed", "imputed")
 _LINE = f"date, vendeur, region, produit, categorie, quantite, {_AMOUNTS}, statut, source_fichier"
 _register("typed", f"SELECT {_LINE} FROM typed", "typed")

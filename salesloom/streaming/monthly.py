@@ -9,6 +9,8 @@ whole, so cleaning and reports are recomputed from the stored lines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.cleaning import normalise_na
@@ -21,30 +23,28 @@ BATCH = "lot_ingestion"
 _FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def ingest_new_files(
+def read_files(
+    spark: SparkSession, paths: list[str], settings: Settings = Settings()
+) -> tuple[DataFrame, DataFrame]:
+    """Lines of the good files, gaps as NULL, and the description of all files."""
+    scan = scan_files(spark, paths)
+    return normalise_na(scan.lines, settings), scan.files
+
+
+def follow_files(
     spark: SparkSession,
     in_dir: str,
-    table_dir: str,
     checkpoint_dir: str,
-    settings: Settings = Settings(),
+    handle: Callable[[SparkSession, list[str], int], None],
     max_files_per_batch: int = 10_000,
 ) -> None:
-    """Process all files that no earlier call has seen, then return."""
+    """Call ``handle(session, paths, batch number)`` for all files that no earlier call has seen."""
 
-    def append(batch: DataFrame, batch_id: int) -> None:
+    def batch_files(batch: DataFrame, batch_id: int) -> None:
         # File names only, at most max_files_per_batch of them.
         paths = [r["path"] for r in batch.filter(F.regexp_extract("path", "^(.*)/[^/]*$", 1) == top).collect()]
-        if not paths:
-            return
-        with scratch(batch.sparkSession):
-            try:
-                scan = scan_files(batch.sparkSession, paths)
-                lines = _known_names(normalise_na(scan.lines, settings), _stored(spark, table_dir))
-                lines.write.mode("overwrite").parquet(f"{table_dir}/lignes/{BATCH}={batch_id}")
-                files = scan.files
-            except NoReadableFileError as error:
-                files = error.files
-            files.write.mode("overwrite").parquet(f"{table_dir}/fichiers/{BATCH}={batch_id}")
+        if paths:
+            handle(batch.sparkSession, paths, batch_id)
 
     # Subfolders are not part of the feed. They are listed all the same, because a folder
     # named like a partition would otherwise hide the files beside it.
@@ -54,7 +54,7 @@ def ingest_new_files(
         .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files_per_batch)
         .load(in_dir)
         .select("path")
-        .writeStream.foreachBatch(append)
+        .writeStream.foreachBatch(batch_files)
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
         .start()
@@ -62,6 +62,29 @@ def ingest_new_files(
     query.awaitTermination()
 
 
+def ingest_new_files(
+    spark: SparkSession,
+    in_dir: str,
+    table_dir: str,
+    checkpoint_dir: str,
+    settings: Settings = Settings(),
+    max_files_per_batch: int = 10_000,
+) -> None:
+    """Process all files that no earlier call has seen, then return."""
+
+    def append(session: SparkSession, paths: list[str], batch_id: int) -> None:
+        with scratch(session):
+            try:
+                lines, files = read_files(session, paths, settings)
+                lines = _known_names(lines, _stored(spark, table_dir))
+                lines.write.mode("overwrite").parquet(f"{table_dir}/lignes/{BATCH}={batch_id}")
+            except NoReadableFileError as error:
+                files = error.files
+            files.write.mode("overwrite").parquet(f"{table_dir}/fichiers/{BATCH}={batch_id}")
+
+    follow_files(spark, in_dir, checkpoint_dir, append, max_files_per_batch)
+
+
 def _qualified(spark: SparkSession, folder: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
