@@ -156,8 +156,10 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataF
     )
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
-    """Inner join on ``key``, unique in ``right``, where few keys may have most rows of ``left``.
+def join_hot(
+    left: DataFrame, right: DataFrame, key: str | list[str], rows: str, total: int
+) -> DataFrame:
+    """Inner join on ``key`` (one or more columns), unique in ``right``, where few keys may have most rows of ``left``.
 
     ``right`` says in column ``rows`` how many rows of ``left`` its key has; ``total`` is
     their sum. Keys with more than one row in HOT_KEYS are at most HOT_KEYS keys: they are
@@ -167,7 +169,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int)
     hot = right.where(F.col(rows) > limit)
     cold = right.where(F.col(rows) <= limit)
     near = left.join(F.broadcast(hot), key)
-    far = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    names = [key] if isinstance(key, str) else key
+    far = left.join(F.broadcast(hot.select(*names)), key, "left_anti").join(cold, key)
     return near.unionByName(far)
 
 

@@ -2,11 +2,14 @@
 
 Every window of consecutive words is assigned to its anchor, the smallest hash among the
 short word groups in it, so equal windows have equal anchors. Anchors that occur once need
-no search. The stretches of text around the others are dealt to shards by anchor. A shard
-sorts its stretches into an index: the Burrows-Wheeler transform in a wavelet matrix of
-packed bits. Backward search then streams each stretch from its end, one word at a time,
-and keeps the interval of the last words up to the window's length: its size is the number
-of places where they occur. Windows in more than one place are reported.
+no search. The stretches of text around the others are collapsed: equal ones become one,
+which weighs as many places as it has. What is left is dealt to shards by anchor; an anchor
+with too many different stretches for a shard is split by a second anchor, made of groups
+that cover a whole window, and its windows are collapsed again. A shard sorts its stretches
+into an index: the Burrows-Wheeler transform in a wavelet matrix of packed bits. Backward
+search then streams each stretch from its end, one word at a time, and keeps the interval
+of the last words up to the window's length: its weight is the number of places where they
+occur. Windows in more than one place are reported, whatever way their stretch came.
 """
 
 from __future__ import annotations
@@ -27,8 +30,7 @@ WINDOW = 35
 GROUP = 8
 #: Stretches per shard, on average.
 SHARD_STRETCHES = 4_096
-#: An anchor with more stretches than this does not fit a shard beside others; its windows
-#: are counted one by one instead, spread by their content.
+#: An anchor with more different stretches than this is split by a second one.
 HOT_ANCHOR = 256
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -60,6 +62,35 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value[place[first]].view(np.int64), first, last
 
 
+_POWERS = [np.ones(1, np.uint64)] * 2
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 14)
+        with np.errstate(over="ignore"):
+            for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS
+
+
+def runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`anchors` with a hash of the words of each run's stretch: (anchor, stretch, first, last)."""
+    anchor, first, last = anchors(hashes)
+    if not len(first):
+        return anchor, anchor, first, last
+    up, down = _powers(len(hashes) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(hashes * up[:len(hashes)], dtype=np.uint64)]
+        value = (sums[last + WINDOW] - sums[first]) * down[first]
+        value = _mix(value + (last - first).astype(np.uint64) * _ODD)
+    return anchor, value.view(np.int64), first, last
+
+
 class WaveletMatrix:
     """A sequence of symbols as one packed bit vector per bit, with ranks by symbol."""
 
@@ -101,9 +132,9 @@ def _ahead(ranks: np.ndarray, by: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search over stretches of words, given as symbols from 1."""
+    """Backward search over stretches of words, given as symbols from 1, each with a weight."""
 
-    def __init__(self, stretches: list[np.ndarray], window: int):
+    def __init__(self, stretches: list[np.ndarray], window: int, weights: list[int] | None = None):
         self.window = window
         text = np.concatenate([x for s in stretches for x in (s, [0])]).astype(np.int64)
         # Sorted by the first words only: as far as any search will look.
@@ -124,6 +155,9 @@ class FMIndex:
         number = np.cumsum(np.r_[True, run[1:] != run[:-1]]) - 1
         self.first, self.end = edge[number], np.r_[edge[1:], len(run)][number]
         self.size = len(text)
+        # Weight of all rows before each.
+        each = np.repeat(weights or [1] * len(stretches), [len(s) + 1 for s in stretches])
+        self.weight = np.r_[0, np.cumsum(each[order])]
 
     def counts(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
         """Matching statistics: in how many places each window of each stretch occurs.
@@ -148,7 +182,7 @@ class FMIndex:
                 row = low[live]
                 low[live], high[live] = self.first[row], self.end[row]
             if step >= self.window - 1:
-                found[at] = high[live] - low[live]
+                found[at] = self.weight[high[live]] - self.weight[low[live]]
         for i, n in enumerate(lengths):
             if n >= self.window:
                 out[i] = found[ends[i] - n:ends[i] - self.window + 1]
@@ -167,20 +201,17 @@ def _covered(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def _search(frame: pd.DataFrame) -> pd.DataFrame:
-    """Index the stretches of one shard and report the repeated intervals of each."""
+    """Index the pieces of one shard and report the repeated intervals of each."""
     symbols: dict[bytes, int] = {}
-    stretches = [
+    pieces = [
         np.array([symbols.setdefault(w, len(symbols) + 1) for w in s.split(b" ")], np.int64)
         for s in frame["words"]
     ]
-    found = FMIndex(stretches, WINDOW).counts(stretches)
+    found = FMIndex(pieces, WINDOW, frame["weight"].tolist()).counts(pieces)
     rows = []
-    for doc, first, counts in zip(frame["id"], frame["first"], found, strict=True):
-        rows += [
-            (doc, first + a, first + b)
-            for a, b in _covered(np.flatnonzero(counts > 1), WINDOW)
-        ]
-    return pd.DataFrame(rows, columns=["id", "start", "end"], dtype="int64")
+    for key, piece, n, counts in zip(frame["key"], frame["piece"], frame["n"], found, strict=True):
+        rows += [(key, piece, n, a, b) for a, b in _covered(np.flatnonzero(counts > 1), WINDOW)]
+    return pd.DataFrame(rows, columns=["key", "piece", "n", "start", "end"], dtype="int64")
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -192,68 +223,74 @@ def _read(docs: DataFrame) -> DataFrame:
             sha = hashlib.sha256(b" ".join(words)).hexdigest()
             if len(words) < WINDOW:
                 return len(words), sha, None, None, None
-            found, first, last = anchors(hashes.array(words))
+            anchor, stretch, _, _ = runs(hashes.array(words))
+            order = np.lexsort((stretch, anchor))
+            anchor, stretch = anchor[order], stretch[order]
+            first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])])
+            times = np.diff(np.r_[first, len(anchor)])
             return (
-                len(words), sha, found.tobytes(), first.astype("<i4").tobytes(),
-                last.astype("<i4").tobytes(),
+                len(words), sha, anchor[first].tobytes(), stretch[first].tobytes(),
+                times.astype("<i4").tobytes(),
             )
 
         return read
 
     return extend(
         docs.select("doc_id", "dk", "th", "text"), "text", make,
-        "n_words long, sha string, anchors binary, first binary, last binary",
+        "n_words long, sha string, anchors binary, stretches binary, times binary",
     )
 
 
-def _anchor_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each different stretch of a text and how often it is there."""
     for frame in frames:
         sizes = [len(a) // 8 for a in frame["anchors"]]
         yield pd.DataFrame({
             "id": np.repeat(frame["id"].to_numpy(), sizes),
             "anchor": np.frombuffer(b"".join(frame["anchors"]), np.int64),
-            "first": np.frombuffer(b"".join(frame["first"]), "<i4"),
-            "last": np.frombuffer(b"".join(frame["last"]), "<i4"),
+            "stretch": np.frombuffer(b"".join(frame["stretches"]), np.int64),
+            "times": np.frombuffer(b"".join(frame["times"]), "<i4"),
         })
 
 
-def _stretches(frames: Iterator[pd.DataFrame], hot: int) -> Iterator[pd.DataFrame]:
-    """Stretches around the anchors that fit a shard."""
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of each wanted stretch, or its windows one by one where its anchor is split."""
+    hashes = WordHashes()
     for frame in frames:
         rows = []
-        for doc, text, runs in zip(frame["id"], frame["text"], frame["runs"], strict=True):
+        for text, wanted in zip(frame["text"], frame["wanted"], strict=True):
             words = words_of(text)
-            rows += [
-                (doc, r["anchor"], r["first"], b" ".join(words[r["first"]:r["last"] + WINDOW]))
-                for r in runs if r["n"] <= hot
-            ]
-        yield pd.DataFrame(rows, columns=["id", "anchor", "first", "words"])
-
-
-def _hot_windows(frames: Iterator[pd.DataFrame], hot: int) -> Iterator[pd.DataFrame]:
-    """The single windows of the other anchors, with a 128-bit hash of their words."""
-    for frame in frames:
-        rows = []
-        for doc, text, runs in zip(frame["id"], frame["text"], frame["runs"], strict=True):
-            often = [r for r in runs if r["n"] > hot]
-            words = words_of(text) if often else []
-            for r in often:
-                for at in range(r["first"], r["last"] + 1):
-                    value = xxhash.xxh3_128_digest(b" ".join(words[at:at + WINDOW]))
-                    rows.append((doc, at, value))
-        yield pd.DataFrame(rows, columns=["id", "start", "hash"])
+            where = {}
+            for a, s, first, last in zip(*(x.tolist() for x in runs(hashes.array(words))), strict=True):
+                where.setdefault((a, s), (first, last))
+            for r in wanted:
+                own = r["anchor"], r["stretch"]
+                first, last = where[own]
+                if not r["split"]:
+                    rows.append((*own, 0, *own, r["weight"], False, b" ".join(words[first:last + WINDOW])))
+                    continue
+                for at in range(first, last + 1):
+                    window = b" ".join(words[at:at + WINDOW])
+                    two = np.frombuffer(xxhash.xxh3_128_digest(window), np.int64).tolist()
+                    rows.append((*own, at - first, *two, r["weight"], True, window))
+        yield pd.DataFrame(rows, columns=["anchor", "stretch", "at", "key", "piece", "weight", "split", "words"])
 
 
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = WordHashes()
     for frame in frames:
         rows = []
         for doc, text, found in zip(frame["id"], frame["text"], frame["found"], strict=True):
             words = words_of(text)
-            gone = np.zeros(len(words) + 1, np.int64)
-            np.add.at(gone, [r["start"] for r in found], 1)
-            np.add.at(gone, [r["end"] for r in found], -1)
+            spans = {(r["anchor"], r["stretch"]): r["spans"] for r in found}
+            starts, ends = [], []
+            for a, s, first in zip(*(x.tolist() for x in runs(hashes.array(words))[:3]), strict=True):
+                for span in spans.get((a, s), ()):
+                    starts.append(first + span["start"])
+                    ends.append(first + span["end"])
+            gone = np.bincount(starts, minlength=len(words) + 1) - np.bincount(ends, minlength=len(words) + 1)
             keep = np.cumsum(gone)[:-1] == 0
-            kept = b" ".join(w for w, k in zip(words, keep, strict=True) if k)
+            kept = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
             rows.append((
                 doc, len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(),
                 kept.decode(),
@@ -274,6 +311,9 @@ def repeats(
     texts than a window lose nothing. Rows with equal words are indexed once: if they have
     a window, all their words go. Other columns are ignored, an empty table gives an empty
     one.
+
+    ``hot`` only decides whether an anchor's different stretches meet in one shard or are
+    split by a second anchor first; it changes no result.
     """
     keyed = docs.select(
         "doc_id", "text", F.xxhash64("doc_id", F.lit(1)).alias("dk"), text_key().alias("th")
@@ -282,52 +322,69 @@ def repeats(
     texts = stage(
         rows.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(
             F.count("*").alias("copies"), F.min(F.struct("dk", "th")).alias("who"),
-            *[F.first(c).alias(c) for c in ("n_words", "anchors", "first", "last")],
+            *[F.first(c).alias(c) for c in ("n_words", "anchors", "stretches", "times")],
         ).select(
             F.monotonically_increasing_id().alias("id"), "sha", "copies", "who.dk", "who.th",
-            "n_words", "anchors", "first", "last",
+            "n_words", "anchors", "stretches", "times",
         ), "texts",
     )
     # Texts that occur more than once are gone already, but others may repeat their parts.
-    places = texts.select("id", "anchors", "first", "last").mapInPandas(
-        _anchor_rows, "id long, anchor long, first int, last int"
+    places = texts.select("id", "anchors", "stretches", "times").mapInPandas(
+        _places, "id long, anchor long, stretch long, times int"
     )
     often = stage(
-        places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often"
+        places.groupBy("anchor").agg(F.sum("times").alias("all"), F.count("*").alias("n"))
+        .where(F.col("all") > 1).drop("all"), "often",
     )
     total = often.agg(F.sum("n")).first()[0] or 0
-    runs = join_hot(places, often, "anchor", "n", total).groupBy("id").agg(
-        F.collect_list(F.struct("anchor", "n", "first", "last")).alias("runs")
+    shared = stage(join_hot(places, often, "anchor", "n", total).drop("n"), "shared")
+    distinct = stage(
+        shared.groupBy("anchor", "stretch").agg(
+            F.sum("times").alias("weight"), F.count("*").alias("rows"), F.min("id").alias("id")
+        ), "distinct",
     )
-    wanted = runs.join(texts.select("id", "dk", "th", "copies"), "id")
-    read = stage(
-        keyed.select("dk", "th", "text").join(wanted, ["dk", "th"])
-        .dropDuplicates(["dk", "th"]).select("id", "copies", "text", "runs"), "stretches",
+    variety = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    number = distinct.count()
+    split = (F.col("kinds") > hot).alias("split")
+    wanted = join_hot(distinct, variety, "anchor", "kinds", number).groupBy("id").agg(
+        F.collect_list(F.struct("anchor", "stretch", "weight", split)).alias("wanted")
+    )
+    text_of = keyed.select("dk", "th", "text")
+
+    def with_text(found: DataFrame) -> DataFrame:
+        """Rows by id with their whole texts; repeated rows of a document come once."""
+        who = found.join(texts.select("id", "dk", "th", "copies"), "id")
+        return text_of.join(who, ["dk", "th"]).dropDuplicates(["dk", "th"])
+
+    pieces = stage(
+        with_text(wanted).select("text", "wanted").mapInPandas(
+            _pieces, "anchor long, stretch long, at int, key long, piece long, weight long, split boolean, words binary"
+        ), "pieces",
     )
-    fits = lambda r: r["n"] <= hot
-    number = read.agg(F.sum(F.size(F.filter("runs", fits)))).first()[0]
-    shards = max(1, -(-(number or 0) // per_shard))
-    indexed = (
-        read.where(F.exists("runs", fits)).select("id", "text", "runs")
-        .mapInPandas(lambda frames: _stretches(frames, hot), "id long, anchor long, first int, words binary")
-        .groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-        .applyInPandas(_search, "id long, start long, end long")
+    one = pieces.where(~F.col("split")).select("key", "piece", "weight", F.lit(1).cast("long").alias("n"), "words")
+    windows = pieces.where("split").groupBy("key", "piece").agg(
+        F.sum("weight").alias("weight"), F.count("*").alias("n"), F.first("words").alias("words")
     )
-    windows = stage(read.where(F.exists("runs", lambda r: ~fits(r))).select(
-        "id", "text", "runs"
-    ).mapInPandas(
-        lambda frames: _hot_windows(frames, hot), "id long, start long, hash binary"
-    ), "windows")
-    again = stage(
-        windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "again"
+    shards = max(1, -(-pieces.count() // per_shard))
+    indexed = stage(
+        one.unionByName(windows)
+        .groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
+        .applyInPandas(_search, "key long, piece long, n long, start long, end long"), "intervals",
     )
-    counted = join_hot(windows, again, "hash", "n", windows.count()).select(
-        "id", "start", (F.col("start") + WINDOW).alias("end")
+    # Windows of split anchors go back to the stretches that they come from.
+    parts = pieces.where("split").select("anchor", "stretch", "at", "key", "piece")
+    back = join_hot(parts, indexed.select("key", "piece", "n"), ["key", "piece"], "n", parts.count()).select(
+        "anchor", "stretch", F.col("at").cast("long").alias("start"), (F.col("at") + WINDOW).cast("long").alias("end")
     )
-    found = stage(indexed.unionByName(counted), "intervals").groupBy("id").agg(
-        F.collect_list(F.struct("start", "end")).alias("found")
+    plain = indexed.join(distinct.select("anchor", "stretch"), (F.col("key") == F.col("anchor")) & (F.col("piece") == F.col("stretch")))
+    spans = plain.select("anchor", "stretch", "start", "end").unionByName(back).groupBy("anchor", "stretch").agg(
+        F.collect_list(F.struct("start", "end")).alias("spans")
     )
-    cut = read.where("copies = 1").select("id", "text").join(found, "id").mapInPandas(
+    judged = spans.join(distinct.select("anchor", "stretch", "rows"), ["anchor", "stretch"])
+    found = join_hot(
+        shared.select("id", "anchor", "stretch"), judged, ["anchor", "stretch"], "rows", shared.count()
+    ).groupBy("id").agg(F.collect_list(F.struct("anchor", "stretch", "spans")).alias("found"))
+    cut = with_text(found).where("copies = 1").select("id", "text", "found").mapInPandas(
         _cut, "id long, n_removed long, kept_sha256 string, kept_text string"
     )
     alike = F.col("copies") > 1

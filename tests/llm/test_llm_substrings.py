@@ -50,6 +50,29 @@ def test_equals_brute_force(documents, hot):
             assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_a_very_frequent_passage_and_one_of_equal_words(documents):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5_000)}"
+    passage = " ".join(word() for _ in range(38))
+    side = lambda: " ".join(word() for _ in range(30))
+    rows = [(i, f"{side()} {passage} {side()}") for i in range(300)]
+    rows += [(400, "same " * 1_000_000), (401, "a b c " * 400), (402, "x a b c " + "a b c " * 20)]
+    got = {r.doc_id: r for r in substrings.repeats(documents(rows)).collect()}
+    want = brute([r for r in rows if r[0] != 400])
+    assert sorted((i, r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items() if i != 400) == want
+    assert (got[400].n_words, got[400].n_removed, got[400].kept_sha256) == (10**6, 10**6, substrings.EMPTY)
+
+
+def test_weighted_stretches_count_their_places():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(1, 4, 40) for _ in range(6)]
+    weights = [1, 2, 3, 1, 5, 2]
+    repeated = [t for t, w in zip(texts, weights, strict=True) for _ in range(w)]
+    want = substrings.FMIndex(repeated, 3).counts(texts)
+    got = substrings.FMIndex(texts, 3, weights).counts(texts)
+    assert all((a == b).all() for a, b in zip(want, got, strict=True))
+
+
 def test_special_rows(documents):
     long = " ".join(f"x{i}" for i in range(20_000))
     mid = " ".join(f"x{i}" for i in range(5_000, 5_100))
