@@ -28,8 +28,13 @@ from .common import extend
 SAMPLE_PER_CLASS = 2_400
 #: Words of a window, and bytes after which a longer word is cut into several.
 WINDOW_WORDS, WORD_BYTES = 8, 64
-#: Bytes of the shared base and of each class's own part.
-BASE_BYTES, OWN_BYTES = 112 << 10, 4 << 10
+#: Bytes of the shared base, of each class's own parts, and how many of these there are: each
+#: is trained on a split of its own, so that what one training leaves out another holds.
+BASE_BYTES, OWN_BYTES, OWN_PARTS = 112 << 10, 4 << 10, 2
+#: Pieces of the base that windows begin with in turn. They cost the same under both
+#: dictionaries, but shift where a length is rounded to whole bytes, so that the mean over a
+#: text's windows tells apart what a single byte does not.
+LEADS = 4
 #: Windows count as toxic wording from so many bytes of difference.
 STEPS = (2, 4)
 #: zstd needs some bytes after the last match; every window gets the same ones.
@@ -58,9 +63,10 @@ class Model:
         if self._pair is None:
             self._pair = _compressor(self.ordinary), _compressor(self.toxic)
         ordinary, toxic = self._pair
-        return np.array(
-            [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(text)], float
-        )
+        places = (-200 - 40 * i for i in range(LEADS))
+        leads = [self.ordinary[at:at + 9 + 3 * i] for i, at in enumerate(places)]
+        led = [leads[i % LEADS] + w for i, w in enumerate(windows(text))]
+        return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in led], float)
 
     def features(self, text: str | None) -> np.ndarray:
         d = self.differences(text)
@@ -151,8 +157,9 @@ def fit(
         f" {' '.join(v[i:i + 40])} ".encode() for v in vocabulary for i in range(0, len(v), 40)
     ]
     base = _train(lines, BASE_BYTES, 24)
+    said = [_own_words(learn[y], learn[1 - y]) for y in (0, 1)]
     own = [
-        _train(_own_words(learn[y], learn[1 - y]), OWN_BYTES, 16)[-OWN_BYTES:] for y in (0, 1)
+        b"".join(_train(t[i::OWN_PARTS], OWN_BYTES, 16)[-OWN_BYTES:] for i in range(OWN_PARTS)) for t in said
     ]
     model = Model(toxic=own[1] + base, ordinary=own[0] + base)
     held = [(t, y) for y in (0, 1) for t in classes[y][1::2]]

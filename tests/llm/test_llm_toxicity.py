@@ -47,6 +47,13 @@ def test_null_empty_and_blank_score_the_same(model):
     assert model.score(None) == model.score("") == model.score(" \n") and 0 <= model.score("") <= 1
 
 
+def test_the_order_of_rows_does_not_turn_a_score(rows):
+    texts = [(t, y) for _, t, y in rows[:480]]
+    for seed in range(6):
+        random.Random(seed).shuffle(texts)
+        assert toxicity.fit(texts).score("idiot " * 6_000) >= 0.5, seed
+
+
 def test_one_class_gives_a_constant():
     assert toxicity.fit([("a b c", 0)] * 9).score("idiot") == 0
     assert toxicity.fit([("a b c", 1)] * 9).score("idiot") == 1
