@@ -9,6 +9,7 @@ pattern it goes to.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ranked, stage
+from .common import _parts, ranked, stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _TRAILING = b".,;:!?&$%#*\"()[]{}-+=_/\\|<>@^~`"
@@ -27,7 +28,8 @@ _TRAILING = b".,;:!?&$%#*\"()[]{}-+=_/\\|<>@^~`"
 class Encoder(dict):
     """Word to token ids (little-endian uint32 bytes), remembered for ``limit`` words.
 
-    The tokenizer treats the words between ASCII white space one by one and lower-cases
+    The tokenizer cuts a text at the strings of its added tokens, as they are written;
+    between them it treats the words between ASCII white space one by one and lower-cases
     them, so a text's ids are its words' ids in a row.
     """
 
@@ -37,24 +39,50 @@ class Encoder(dict):
         super().__init__()
         self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
+        added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.marks = sorted(added, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, self.marks)) + b")")
+        # Kept apart from words, which hold no line break.
+        self.added = {b"\n" + t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        self.tokenizer.encode_special_tokens = True  # words hold none as it is written
+
+    def _parts(self, text: bytes) -> list[bytes]:
+        """Words and, as they are, added tokens."""
+        if not any(t in text for t in self.marks):
+            return text.lower().split()
+        return [
+            w for i, part in enumerate(self.cut.split(text))
+            for w in ([b"\n" + part] if i % 2 else part.lower().split())
+        ]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        heads = {}
+        for word in fresh:
+            head = word.rstrip(_TRAILING)
+            # Letters and marks never share a token.
+            heads[word] = len(head) if head != word and head and head.decode().isalpha() else len(word)
+        wanted = {p for w, n in heads.items() for p in (w[:n], w[n:]) if p and p not in self}
+        known = dict.fromkeys(wanted)
+        wanted = list(known)
+        for start in range(0, len(wanted), 4_096):
+            part = wanted[start:start + 4_096]
+            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        self.update(known)
+        for word, n in heads.items():
+            if n < len(word):
+                self[word] = self[word[:n]] + self[word[n:]]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; all words that are new are encoded together."""
+        if len(self) > self.limit:
             self.clear()
-        head = word.rstrip(_TRAILING)
-        tail = word[len(head):]
-        if head and tail and head.decode().isalpha():
-            ids = self[head] + self[tail]  # letters and marks never share a token
-        else:
-            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            ids = np.array(found, "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        words = text.encode().lower().split() if text else []
-        return b"".join(map(self.__getitem__, words))
+        parts = [self._parts(t.encode()) if t else [] for t in texts]
+        fresh = {w for words in parts for w in words if w not in self}
+        for added in self.added.keys() & fresh:
+            self[added] = self.added[added]
+        self._learn([w for w in fresh if w not in self.added])
+        return [b"".join(map(self.__getitem__, words)) for words in parts]
 
 
 @lru_cache(maxsize=2)
@@ -72,10 +100,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 204
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, 4 << 20)):
             rows = []
-            for i, text in enumerate(batch.column("text")):
-                ids = own.ids(text.as_py()) + end
+            for i, ids in enumerate(own.ids(batch.column("text").to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start:4 * (start + capacity)]
