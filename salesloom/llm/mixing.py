@@ -84,7 +84,10 @@ def training_time(share: Column, tilt: Column) -> Column:
     return F.when(low + root > 0, 2 * share / (low + root)).otherwise(F.lit(0.0))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, ceiling: int = CEILING) -> DataFrame:
+def mix(
+    docs: DataFrame, weights=WEIGHTS, tilts=TILTS, ceiling: int = CEILING,
+    text_key: Column | None = None,
+) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source) with what the mix takes of it.
 
     ``size`` counts words (null text: 0); ``taken`` is ``copies`` full takes, or fewer words
@@ -92,7 +95,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, ceiling: int = CEILING) -
     the training time of the first take, null if there is none. A source's taken words add
     up to its rounded target. Documents without words cost nothing and come along like
     their neighbours. The order inside a source is that of md5(doc_id), so reruns agree;
-    rows with the same doc_id follow size and text. Other columns are ignored.
+    rows with the same doc_id follow size and ``text_key`` (by default md5 of the text; another
+    expression that tells rows apart may be given). Other columns are ignored.
 
     A source may hold most rows: it is dealt into buckets of that order (about sqrt(n) of
     them), whose sums are added up before rows are looked at inside each bucket.
@@ -100,7 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, ceiling: int = CEILING) -
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = stage(docs.select(
         "doc_id", "source", word_count().alias("size"), key.alias("key"),
-        F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"),
+        (F.md5(F.coalesce(F.col("text"), F.lit(""))) if text_key is None else text_key).alias("text_key"),
     ), "sized")
     rows = sized.count()
     digits = 1
