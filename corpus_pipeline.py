@@ -8,7 +8,7 @@ and read again as the documents of the next one; all but the last return the col
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salesloom.llm import jaccard, mixing, packing, substrings, toxicity
 from salesloom.llm.common import ship, stage, table, text_key
@@ -66,23 +66,19 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The document at which a source's quota ends is taken whole.
     """
-    same = Window.partitionBy("source", "doc_id", "text_key").orderBy("at")
-    plan = mixing.mix(docs).withColumn("_n", F.row_number().over(same)).where("copies > 0")
-    plan = stage(plan, "mix").select(
-        F.col("source").alias("_source"), F.col("doc_id").alias("_id"),
-        F.col("text_key").alias("_text"), "_n",
+    # Rows with one key are equal in all columns, so one of them stands for their takes.
+    key = F.concat_ws(
+        "-", F.md5(F.coalesce(F.col("text"), F.lit(""))), F.xxhash64(*docs.columns).cast("string")
+    )
+    plan = stage(mixing.mix(docs, text_key=key).where("copies > 0"), "mix").select(
+        F.col("text_key").alias("_key"),
         *[F.col(c).alias(f"_{c}") for c in ("at", "copies", "source_size", "quota", "tilt")],
     )
-    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    number = F.row_number().over(
-        Window.partitionBy("source", "doc_id", "_key").orderBy(F.xxhash64(*docs.columns))
+    # The texts are dealt by key once, for both the choice and the join, then by position.
+    rows = docs.withColumn("_key", key).dropDuplicates(["_key"])
+    joined = rows.join(plan, "_key").withColumn(
+        "_take", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))
     )
-    rows = docs.withColumn("_key", key).withColumn("_row", number)
-    joined = rows.join(
-        plan, F.col("source").eqNullSafe(F.col("_source"))
-        & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))
-        & (F.col("_row") == F.col("_n")),
-    ).withColumn("_take", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     share = (F.col("_take") * F.col("_source_size") + F.col("_at")).cast("double") / F.greatest(
         F.col("_quota"), F.lit(1)
     )
