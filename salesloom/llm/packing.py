@@ -55,34 +55,25 @@ class Encoder(dict):
             for w in ([b"\n" + part] if i % 2 else part.lower().split())
         ]
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        heads = {}
-        for word in fresh:
-            head = word.rstrip(_TRAILING)
-            # Letters and marks never share a token.
-            heads[word] = len(head) if head != word and head and head.decode().isalpha() else len(word)
-        wanted = {p for w, n in heads.items() for p in (w[:n], w[n:]) if p and p not in self}
-        known = dict.fromkeys(wanted)
-        wanted = list(known)
-        for start in range(0, len(wanted), 4_096):
-            part = wanted[start:start + 4_096]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        self.update(known)
-        for word, n in heads.items():
-            if n < len(word):
-                self[word] = self[word[:n]] + self[word[n:]]
+    def __missing__(self, word: bytes) -> bytes:
+        head = word.rstrip(_TRAILING)
+        tail = word[len(head):]
+        if word in self.added:
+            ids = self.added[word]
+        elif head and tail and head.decode().isalpha():
+            ids = self[head] + self[tail]  # letters and marks never share a token
+        else:
+            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            ids = np.array(found, "<u4").tobytes()
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = ids
+        return ids
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; all words that are new are encoded together."""
-        if len(self) > self.limit:
-            self.clear()
-        parts = [self._parts(t.encode()) if t else [] for t in texts]
-        fresh = {w for words in parts for w in words if w not in self}
-        for added in self.added.keys() & fresh:
-            self[added] = self.added[added]
-        self._learn([w for w in fresh if w not in self.added])
-        return [b"".join(map(self.__getitem__, words)) for words in parts]
+        """Ids of each text."""
+        own = self.__getitem__
+        return [b"".join(map(own, self._parts(t.encode()))) if t else b"" for t in texts]
 
 
 @lru_cache(maxsize=2)
