@@ -216,6 +216,7 @@ class _Blocks(HTMLParser):
             or values.get("role") in BOILERPLATE_ROLES
             or tag in BOILERPLATE_TAGS or tag == "header" and not content
         )
+        named = named and tag not in ("html", "body")  # their names tell a layout, not a role
         hidden = "hidden" in values or "display:none" in values.get("style", "").replace(" ", "")
         if tag in CONTENT_TAGS:
             if not self._in_comments():

@@ -94,6 +94,8 @@ TEXT = "The cat is on the mat and it was a good day for all of the people who ca
     (f"<form><p>{TEXT}</form><header>Site</header><main><header><h1>A</h1></header><p>{TEXT}</main>", f"A\n{TEXT}"),
     (f"<article><p>{TEXT}</p><script>var a='<p>x</p>'</script><style>p{{}}</style><!-- c --><p>x  \n y</article>", f"{TEXT}\nx y"),
     ("<article><p>kurz</p></article>", "kurz"),
+    (f"<html class=search><body class='single right-sidebar'><p>{TEXT}</p><div class=sidebar>x</div>", TEXT),
+    (f"<body class='comments-open' id=page-menu><article><p>{TEXT}</p></article></body>", TEXT),
     (f"<section id=comments><article><p>{TEXT}</article></section><article><p>{TEXT}<p>z</article>", f"{TEXT}\nz"),
     ("<<a href='x<p>q", "<<a href='x<p>q"), (f"<p>{TEXT}<![CDATA[ x ]]></p>", TEXT),
 ])
