@@ -507,6 +507,22 @@ def scan_csv_reordered(spark, d):
     return csv_files.scan_csv(spark, folder).lines.select(*BUSINESS_COLUMNS)
 
 
+@query
+def scan_reserved_names(spark, d):
+    """The later drop comes in files whose names start with an underscore."""
+    folder, drop = staging_path(spark, "csv"), staging_path(spark, "csv")
+    first, second = _halves(spark, d)
+    sinks.write_csv(first, folder)
+    sinks.write_csv(second, drop)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.globStatus(path(f"{drop}/*.csv")):
+        files.rename(status.getPath(), path(folder, f"_{status.getPath().getName()}"))
+    return csv_files.scan_csv(spark, folder).lines.select(
+        *BUSINESS_COLUMNS, F.col(SOURCE_COLUMN).startswith("_").alias("reserve")
+    )
+
+
 @query
 def scan_csv_quoted(spark, d):
     """Quotes, commas and line breaks inside fields."""

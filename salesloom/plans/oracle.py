@@ -440,6 +440,7 @@ _FEED = "date, vendeur, region, produit, categorie, quantite, prix_unitaire, rem
 _FIRST = "source_fichier < 'ventes_1998_07.csv'"
 for _name in ("scan_csv", "scan_csv_reordered", "validate_columns", "ingest", "stream_ingest"):
     _register(_name, f"SELECT {_FEED} FROM raw", "raw")
+_register("scan_reserved_names", f"SELECT {_FEED}, NOT ({_FIRST}) AS reserve FROM raw", "raw")
 _register("scan_csv_quoted", f"""
 SELECT * REPLACE (produit || ' 27"' || chr(10) || ', ' || categorie AS produit) FROM (SELECT {_FEED} FROM raw)""", "raw")
 _register("union_files", f"""

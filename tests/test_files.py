@@ -98,16 +98,57 @@ def test_bad_files_are_set_aside_whole(spark, tmp_path):
     write(tmp_path, "blanc.csv", "\n \n")
     write(tmp_path, "latin.csv", lines_of(PLAIN), "latin-1")
     write(tmp_path, "ouvert.csv", lines_of(PLAIN, PLAIN.replace("Tablette", '"Laptop'), PLAIN))
-    write(tmp_path, "_cache.csv", lines_of(PLAIN))
     scan = scanned(spark, tmp_path)
     assert rows(scan.lines, "source_fichier") == [("bon.csv",)]
     assert aside(scan) == {
         "large.csv": (csv_files.WIDE_ROWS, 2), "vide.csv": (csv_files.EMPTY, 0), "blanc.csv": (csv_files.EMPTY, 0),
         "latin.csv": (csv_files.BAD_ENCODING, 0), "ouvert.csv": (csv_files.OPEN_QUOTE, 0),
-        "_cache.csv": (csv_files.HIDDEN, 0),
     }
 
 
+RESERVED_NAMES = ["_x.csv", "_é 1+%20 [a] {b}.csv", "_metadata.csv", "_a=1.csv", "__~_.csv"]
+
+
+@pytest.mark.parametrize("subfolder", [False, True])
+def test_names_that_start_with_an_underscore(spark, tmp_path, subfolder):
+    folder = tmp_path / "feed é+%20$1 {x}"
+    folder.mkdir()
+    if subfolder:
+        (folder / "autres").mkdir()
+    for i, name in enumerate([*RESERVED_NAMES, "a.csv"]):
+        write(folder, name, lines_of(PLAIN.replace("Tablette", f"P{i}")))
+    write(folder, ".cache.csv", lines_of(PLAIN))
+    scan = scanned(spark, folder)
+    names = {n: f"P{i}" for i, n in enumerate([*RESERVED_NAMES, "a.csv"])}
+    assert dict(rows(scan.lines, "source_fichier", "produit")) == names
+    assert sorted(rows(scan.files, "source_fichier", "nb_lignes", "lu")) == sorted((n, 1, True) for n in names)
+
+
+def test_reserved_names_of_all_kinds(spark, tmp_path):
+    """Line breaks in quotes, other headers, bad and empty files; no other file in the folder."""
+    write(tmp_path, "_a.csv", lines_of(PLAIN.replace("Tablette", '"a\n\nb"'), PLAIN))
+    write(tmp_path, "_b.csv", ",".join(reversed(HEADER.split(","))) + "\n" + ",".join(reversed(PLAIN.split(","))) + "\n")
+    write(tmp_path, "_large.csv", lines_of(PLAIN + ",x"))
+    write(tmp_path, "_vide.csv", "")
+    scan = scanned(spark, tmp_path)
+    assert sorted(rows(scan.lines, "source_fichier", "produit")) == [
+        ("_a.csv", "Tablette"), ("_a.csv", "a\n\nb"), ("_b.csv", "Tablette")
+    ]
+    assert aside(scan) == {"_large.csv": (csv_files.WIDE_ROWS, 1), "_vide.csv": (csv_files.EMPTY, 0)}
+
+
+def test_a_reserved_file_is_read_in_splits(spark, tmp_path):
+    write(tmp_path, "_big.csv", lines_of(*[PLAIN] * 4000))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        lines = scanned(spark, tmp_path).lines
+        assert lines.rdd.getNumPartitions() > 2
+        assert lines.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_wide_row_after_a_record_of_several_lines(spark, tmp_path):
     write(tmp_path, "bon.csv", lines_of(PLAIN))
     write(tmp_path, "large.csv", lines_of(PLAIN.replace("Tablette", '"a\nb"'), PLAIN + ",x"))
