@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import _parts, ranked, stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TRAILING = b".,;:!?&$%#*\"()[]{}-+=_/\\|<>@^~`"
 
 
@@ -45,6 +46,13 @@ class Encoder(dict):
         # Kept apart from words, which hold no line break.
         self.added = {b"\n" + t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.tokenizer.encode_special_tokens = True  # words hold none as it is written
+        self.model = self.tokenizer.model if self._takes_letters_as_they_are() else None
+
+    def _takes_letters_as_they_are(self) -> bool:
+        """Whether lower-case ASCII letters reach the model unchanged and as one piece."""
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        same = normalizer is None or normalizer.normalize_str(_LETTERS) == _LETTERS
+        return same and (cutter is None or [w for w, _ in cutter.pre_tokenize_str(_LETTERS)] == [_LETTERS])
 
     def _parts(self, text: bytes) -> list[bytes]:
         """Words and, as they are, added tokens."""
@@ -62,6 +70,8 @@ class Encoder(dict):
             ids = self.added[word]
         elif head and tail and head.decode().isalpha():
             ids = self[head] + self[tail]  # letters and marks never share a token
+        elif self.model and word.isalpha():  # ASCII letters; nothing but the model acts on them
+            ids = np.array([t.id for t in self.model.tokenize(word.decode())], "<u4").tobytes()
         else:
             found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
             ids = np.array(found, "<u4").tobytes()
