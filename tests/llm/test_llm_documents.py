@@ -234,6 +234,20 @@ def test_words_encode_like_the_whole_text():
                 assert np.frombuffer(ids, "<u4").tolist() == want[:-1], text
 
 
+def test_letters_without_the_normaliser_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(TOKENIZER)
+    encoder = packing.Encoder(TOKENIZER)
+    assert encoder.model is not None
+    texts = [
+        "ABC, abc. Z a", "ab\u0301c abc\u0301.", "don't 'Re we\u2019ll </w> a</w>", "\u0130stanbul \u01c5 \u03a3\u0391\u03a3",
+        "1a2b x1", "x" * 3000 + " y", "a\u0085b a\x1cb a\u3000b", "hello<|endoftext|> bye", "",
+    ]
+    for text, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_round_trip(documents):
     rng = random.Random(1)
     texts = TEXTS + [" ".join(rng.choices(["the", "of", "erre", "xyzzy"], k=rng.randint(1, 900))) for _ in range(200)]
