@@ -175,11 +175,15 @@ def join_hot(
 
 
 def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
-    """Join where a hub may have most rows of ``left``: ``right`` has one short row a key."""
+    """Join where a hub may have most rows of ``left``: ``right`` has one short row a key.
+
+    Both sides are shuffled: the rounds of a graph would else send a broadcast through the
+    driver each, which holds all of them until it collects its garbage.
+    """
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (
         left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        .join(right.withColumn("_salt", salts), [key, "_salt"])
+        .join(right.withColumn("_salt", salts).hint("merge"), [key, "_salt"])
         .drop("_salt")
     )
 
