@@ -532,6 +532,23 @@ def scan_csv_quoted(spark, d):
     return csv_files.scan_csv(spark, folder).lines.select(*BUSINESS_COLUMNS)
 
 
+@query
+def scan_csv_loose_quotes(spark, d):
+    """Fields that go on after their closing quote; the text behind it belongs to them."""
+    folder = staging_path(spark, "csv")
+    loose = F.concat(
+        F.lit('"'), F.col("produit"), F.lit(", "), F.col("categorie"), F.lit('" de "base" 2')
+    )
+    fields = [F.coalesce(loose if c == "produit" else F.col(c), F.lit("")) for c in BUSINESS_COLUMNS]
+    header = ",".join(BUSINESS_COLUMNS)
+    lines = _feed(spark, d).select(F.concat_ws(",", *fields).alias(header))
+    lines.write.options(
+        header=True, sep="\u0001", quote="\u0000", escapeQuotes=False,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(folder)
+    return csv_files.scan_csv(spark, folder).lines.select(*BUSINESS_COLUMNS)
+
+
 @query
 def union_files(spark, d):
     """The later drop lacks the discount and brings a new column."""

@@ -443,6 +443,8 @@ for _name in ("scan_csv", "scan_csv_reordered", "validate_columns", "ingest", "s
 _register("scan_reserved_names", f"SELECT {_FEED}, NOT ({_FIRST}) AS reserve FROM raw", "raw")
 _register("scan_csv_quoted", f"""
 SELECT * REPLACE (produit || ' 27"' || chr(10) || ', ' || categorie AS produit) FROM (SELECT {_FEED} FROM raw)""", "raw")
+_register("scan_csv_loose_quotes", f"""
+SELECT * REPLACE (produit || ', ' || categorie || ' de "base" 2' AS produit) FROM (SELECT {_FEED} FROM raw)""", "raw")
 _register("union_files", f"""
 SELECT {_FEED}, CAST(NULL AS VARCHAR) AS commentaire FROM raw WHERE {_FIRST}
 UNION ALL SELECT * REPLACE (CAST(NULL AS VARCHAR) AS remise), upper(produit) FROM (

@@ -425,6 +425,33 @@ def test_a_failed_run_is_not_readable(spark, tmp_path):
         sinks.read_report(spark, str(tmp_path), "r", "x")
 
 
+def test_a_failed_rerun_leaves_the_former_run(spark, tmp_path):
+    frames = [spark.createDataFrame([(i,)], "a int") for i in range(4)]
+    bad = frames[0].selectExpr("raise_error('no') AS a")
+    seen = []
+    for frame in frames:
+        sinks.write_reports({"x": frame}, str(tmp_path), "r")
+        with pytest.raises(Exception):
+            sinks.write_reports({"x": frames[0], "y": bad}, str(tmp_path), "r")
+        seen += rows(sinks.read_report(spark, str(tmp_path), "r", "x"), "a")
+    assert seen == [(0,), (1,), (2,), (3,)]
+    kept = [p for p in (tmp_path / "run=r").iterdir() if (p / sinks.COMPLETE).exists()]
+    assert len(kept) == 2
+
+
+@pytest.mark.parametrize("field, value", [
+    ('"Lampe" bleue', "Lampe bleue"), ('"Lampe, bleue" et "or"', 'Lampe, bleue et "or"'), ('""vide', "vide"),
+    ('"6"" x 2""" net', '6" x 2" net'), ('"Lampe" ', "Lampe "), ('"Lampe"', "Lampe"), ('Lampe "bleue"', 'Lampe "bleue"'),
+    ('"a,""b"" c"', 'a,"b" c'), ('"Lampe\nhaute" bleue', "Lampe\nhaute bleue"),
+])
+def test_text_after_a_closed_quote(spark, tmp_path, field, value):
+    write(tmp_path, "a.csv", lines_of(PLAIN, PLAIN.replace("Tablette", field), PLAIN))
+    write(tmp_path, "b.csv", lines_of(PLAIN))
+    scan = scanned(spark, tmp_path)
+    assert sorted(r["produit"] for r in scan.lines.collect()) == sorted(["Tablette"] * 3 + [value])
+    assert rows(scan.files.where("NOT lu"), "source_fichier") == []
+
+
 def test_reports_hash_and_do_not_sort_the_lines(spark):
     from helpers import plan, raw_frame
     from salesloom.operators import cleaning
