@@ -37,3 +37,46 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.staging_root(Session())
+
+
+class _Session:
+    """What the choice of the folder asks of a session on a cluster."""
+
+    def __init__(self, master, **conf):
+        class Conf:
+            def get(self, key, default):
+                return conf.get(key.replace("spark.", "").replace(".", "_"), default)
+
+        class Context:
+            def getCheckpointDir(self):
+                return None
+
+        self.conf, self.sparkContext = Conf(), Context()
+        self.sparkContext.master = master
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,1024]"])
+def test_a_cluster_without_checkpoints_uses_its_warehouse(master):
+    root = staging.staging_root(_Session(master, sql_warehouse_dir="file:/shared/warehouse/"))
+    assert root == "file:/shared/warehouse/salesloom-staging"
+
+
+def test_a_named_folder_without_a_scheme_is_taken_at_its_word():
+    named = _Session("spark://host:7077", checkpoint_dir="/mnt/shared/", sql_warehouse_dir="/w")
+    assert staging.staging_root(named) == "/mnt/shared"
+
+
+def test_tables_on_the_way_go_and_the_result_stays(spark):
+    on_the_way = []
+
+    def make():
+        df = staging.materialise(spark.createDataFrame([(1,), (2,)], "a int"), "way")
+        on_the_way.append(Path(df.inputFiles()[0].removeprefix("file:")).parent)
+        return df.where("a > 1")
+
+    with staging.scratch(spark):
+        kept = staging.materialise_alone(spark, make, "kept")
+        assert not on_the_way[0].exists()
+        assert [tuple(r) for r in kept.collect()] == [(2,)]
+        path = Path(kept.inputFiles()[0].removeprefix("file:")).parent
+    assert not path.exists()
