@@ -402,39 +402,45 @@ def _long(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
                     })
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = aligner(*paths)
         for frame in frames:
             for row in frame.itertuples():
+                own = aligner(*paths)
                 if len(own.known) > REMEMBERED:
                     own.forget()
                 yield _frame([(row.rid, row.doc_id, row.part, Fragment.of(own, row.raw))])
 
-    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+    def composed(frame: pd.DataFrame) -> tuple[Aligner, Fragment]:
         own = aligner(*paths)
-        rows = list(frame.sort_values("part").itertuples())
-        out = reduce(lambda x, y: x.compose(own, y), map(_fragment, rows))
-        return _frame([(rows[0].rid, rows[0].doc_id, rows[0].part // FAN, out)])
+        if len(own.known) > REMEMBERED:
+            own.forget()
+        rows = frame.sort_values("part").itertuples()
+        return own, reduce(lambda x, y: x.compose(own, y), map(_fragment, rows))
 
-    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = aligner(*paths)
-        for frame in frames:
-            for row in frame.itertuples():
-                f = _fragment(row).whole(own)
-                doc_id = None if pd.isna(row.doc_id) else int(row.doc_id)
-                pairs = np.frombuffer(f.pairs if f.fine else b"", own.kind)
-                what = (f.numbers, hashlib.sha256(f.groups).hexdigest()) if f.fine else _NOTHING
-                yield _block(-1 - row.rid, [(doc_id, *what)], [1], [0], [len(pairs)], pairs).to_pandas()
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        return _frame([(first["rid"], first["doc_id"], first["part"] // FAN, composed(frame)[1])])
+
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        own, f = composed(frame)
+        f = f.whole(own)
+        doc_id = None if pd.isna(first["doc_id"]) else int(first["doc_id"])
+        pairs = np.frombuffer(f.pairs if f.fine else b"", own.kind)
+        what = (f.numbers, hashlib.sha256(f.groups).hexdigest()) if f.fine else _NOTHING
+        return _block(-1 - int(first["rid"]), [(doc_id, *what)], [1], [0], [len(pairs)], pairs).to_pandas()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     raw = stage(numbered.mapInPandas(cut, "rid long, doc_id long, part long, raw binary"), "ranges")
     most, total = raw.agg(F.max("part"), F.count("*")).first()
     spread = raw.repartition(max(1, min(total, 4096)), "rid", "part")
+    # A shuffle lies between any two of these steps, and the last one composes and finishes:
+    # a task has one Python worker, and so one pair of tokenizers in memory.
     parts = spread.mapInPandas(make, _FRAGMENT)
     most = (most or 0) + 1
-    while most > 1:
+    while most > FAN:
         parts = parts.groupBy("rid", F.floor(F.col("part") / FAN).alias("_up")).applyInPandas(compose, _FRAGMENT)
         most = -(-most // FAN)
-    return parts.mapInPandas(finish, BLOCKS)
+    return parts.groupBy("rid").applyInPandas(finish, BLOCKS)
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:

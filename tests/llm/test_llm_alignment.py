@@ -137,3 +137,10 @@ def test_forgetting_units_changes_nothing(documents, monkeypatch):
     own.forget()
     again = [own.groups[i] for i in own.look_up([b"x\n", b"word1", b"the", b""])]
     assert names == [again[2], again[1], again[2], again[3], again[0]]
+
+
+def test_tasks_of_long_documents_have_one_python_worker(spark, documents):
+    docs = documents([(1, "some words of a text " * 400), (2, "short")])
+    plan = alignment._long(docs, PATHS, 16)._jdf.queryExecution().executedPlan().toString()
+    steps = [sum("InPandas" in line for line in part.splitlines()) for part in plan.split("Exchange")]
+    assert sum(steps) >= 3 and max(steps) == 1
