@@ -40,6 +40,12 @@ ROWS = 1 << 14
 ROUNDS = 3
 #: Tokens of a gradient step, step size, and what the squared gradients start from.
 BATCH, RATE, START = 1 << 14, 1.0, 4.0
+#: Tokens whose chances are worked out together, so that they stay in a core's cache.
+CHUNK = 1 << 10
+#: Logits above this, and sums of their exponentials below that, are shifted first.
+HIGH, LOW = 60.0, 1e-25
+#: Tokens of one row up to which gradients are added up for all such rows at once.
+FEW = 16
 #: Rows in which the changed weights travel, and tokens that one task learns from before.
 SLICES, TASK_TOKENS = 32, 1 << 23
 #: Features of the history.
@@ -167,17 +173,18 @@ class Model:
             np.zeros((ROWS, len(mass)), np.float32), np.zeros((ROWS, MEMBERS), np.float32),
         )
 
-    def steps(self, target: np.ndarray, member: np.ndarray, past: np.ndarray):
+    def steps(self, target: np.ndarray, member: np.ndarray, past: np.ndarray, slopes: bool = True):
         """Softmax of both factors: (log P(class), its gradient, rows) and the same of members.
 
         ``past`` are the symbols of the three words before, ``member`` is -1 in rare classes.
+        Without ``slopes`` the gradients are None.
         """
         rows = features(past)
-        outer = _softmax(self.outer_bias[None, :], self.outer, rows, target)
+        outer = _softmax(self.outer_bias[None, :], None, self.outer, rows, target, slopes)
         some = np.flatnonzero(member >= 0)
         group = target[some] - self.first_frequent
         own_rows = features(past[:, some], group + 1)
-        inner = _softmax(self.inner_bias[group], self.inner, own_rows, member[some])
+        inner = _softmax(self.inner_bias, group, self.inner, own_rows, member[some], slopes)
         return (*outer, rows), some, (*inner, own_rows)
 
 
@@ -196,21 +203,68 @@ def features(past: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
     return np.array(out).reshape(FEATURES, -1)
 
 
-def _softmax(bias, table, rows, target):
-    """Natural log of the target's chance per token, and chances minus the target."""
-    logits = np.repeat(bias, rows.shape[1], axis=0) if len(bias) == 1 else bias.copy()
-    for own in rows:
-        logits += table.take(own, axis=0)
-    if not logits.size:
-        return np.zeros(len(target), np.float32), logits
-    at = np.arange(len(target))
-    logits -= logits.max(axis=1, keepdims=True)
-    logp = logits[at, target].copy()
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    logits[at, target] -= 1
-    return logp - np.log(total[:, 0]), logits
+def _softmax(bias, which, table, rows, target, slopes=True):
+    """Natural log of the target's chance per token, and chances minus the target (or None).
+
+    ``which`` names each token's row of ``bias``; without it the only row is everyone's.
+    """
+    n, width = rows.shape[1], table.shape[1]
+    logp = np.empty(n, np.float32)
+    out = np.empty((n if slopes else min(n, CHUNK), width), np.float32)
+    added = np.empty((min(n, CHUNK), width), np.float32)
+    ones = np.ones(width, np.float32)
+
+    def fill(logits, part):
+        if which is None:
+            logits[:] = bias
+        else:
+            bias.take(which[part], axis=0, out=logits, mode="clip")
+        for own in rows[:, part]:
+            logits += table.take(own, axis=0, out=added[:len(logits)], mode="clip")
+
+    for start in range(0, n, CHUNK):
+        part = slice(start, min(start + CHUNK, n))
+        logits = out[part] if slopes else out[:part.stop - start]
+        at, own = np.arange(len(logits)), target[part]
+        fill(logits, part)
+        high = not logits.max() < HIGH
+        if not high:
+            wanted = logits[at, own]
+            np.exp(logits, out=logits)
+            total = logits @ ones
+            high = not total.min() > LOW
+            if high:
+                fill(logits, part)
+        if high:
+            logits -= logits.max(axis=1, keepdims=True)
+            wanted = logits[at, own]
+            np.exp(logits, out=logits)
+            total = logits @ ones
+        logp[part] = wanted - np.log(total)
+        if slopes:
+            logits /= total[:, None]
+            logits[at, own] -= 1
+    return logp, out if slopes else None
+
+
+def _sums(gradient: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that occur in ``own`` and the sum of the gradients of each one's tokens."""
+    order = np.argsort(own, kind="stable")
+    ranked = own[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    times = np.diff(np.r_[first, len(own)])
+    longest = np.argsort(-times, kind="stable")
+    first, times = first[longest], times[longest]
+    sums = gradient.take(order[first], axis=0)
+    many = int(np.searchsorted(-times, -FEW))  # the rows before have more tokens than FEW
+    for i in range(many):
+        gradient.take(order[first[i]:first[i] + times[i]], axis=0).sum(axis=0, out=sums[i])
+    for k in range(1, FEW):
+        end = int(np.searchsorted(-times, -k))  # the rows before have more than k
+        if end <= many:
+            break
+        sums[many:end] += gradient.take(order[first[many:end] + k], axis=0)
+    return ranked[first], sums
 
 
 def _descend(table: np.ndarray, squares: np.ndarray, gradient: np.ndarray, rows: np.ndarray) -> None:
@@ -218,11 +272,7 @@ def _descend(table: np.ndarray, squares: np.ndarray, gradient: np.ndarray, rows:
     if not gradient.size:
         return
     for own in rows:
-        order = np.argsort(own, kind="stable")
-        sorted_rows = own[order]
-        first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        sums = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
-        touched = sorted_rows[first]
+        touched, sums = _sums(gradient, own)
         squares[touched] += np.einsum("ij,ij->i", sums, sums)
         sums *= (RATE / np.sqrt(squares[touched]))[:, None]
         table[touched] -= sums
@@ -374,7 +424,7 @@ def _scored(ready: DataFrame, model: Model) -> DataFrame:
                 logp = block.within[block.tokens].astype(np.float64)
                 for at in range(0, len(target), BATCH):
                     part = slice(at, at + BATCH)
-                    (p, _, _), some, (q, _, _) = own.steps(target[part], member[part], past[:, part])
+                    (p, _, _), some, (q, _, _) = own.steps(target[part], member[part], past[:, part], False)
                     logp[part] += p
                     logp[at + some] += q
                 score = np.add.reduceat(logp, np.cumsum(block.sizes) - block.sizes) / np.log(10)

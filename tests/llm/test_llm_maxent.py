@@ -109,3 +109,36 @@ def test_nothing_to_learn_from(documents):
     held = next(i for i in range(100) if held_out(i))
     (row,) = maxent.score(documents([(held, "a b")])).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("scale, shift", [(1, 0), (900, 0), (1, -400)])
+def test_chances_and_slopes_of_any_size(scale, shift):
+    rng = np.random.default_rng(7)
+    n, width = 2 * maxent.CHUNK + 5, 9
+    table = (rng.normal(size=(maxent.ROWS, width)) * scale + shift).astype(np.float32)
+    bias = rng.normal(size=(4, width)).astype(np.float32)
+    bias[1, 5:] = -np.inf  # a class with fewer members
+    which, target = rng.integers(0, 4, n), rng.integers(0, 5, n)
+    rows = rng.integers(0, maxent.ROWS, (maxent.FEATURES, n)).astype(np.uint16)
+    logits = bias[which].astype(float) + table[rows].astype(float).sum(axis=0)
+    logits -= logits.max(axis=1, keepdims=True)
+    chance = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    logp = logits[np.arange(n), target] - np.log(np.exp(logits).sum(axis=1))
+    chance[np.arange(n), target] -= 1
+    found, slopes = maxent._softmax(bias, which, table, rows, target)
+    np.testing.assert_allclose(found, logp, rtol=1e-4, atol=1e-3)
+    np.testing.assert_allclose(slopes, chance, atol=2e-3)
+    alone, none = maxent._softmax(bias, which, table, rows, target, False)
+    assert none is None and (alone == found).all()
+
+
+def test_sums_of_rows_with_few_and_many_tokens():
+    rng = np.random.default_rng(8)
+    own = np.r_[np.zeros(500), rng.integers(1, 40, 300), np.arange(50, 90), [99] * maxent.FEW].astype(np.uint16)
+    rng.shuffle(own)
+    gradient = rng.normal(size=(len(own), 6)).astype(np.float32)
+    touched, sums = maxent._sums(gradient, own)
+    assert sorted(touched) == sorted(set(own.tolist()))
+    want = np.zeros((100, 6))
+    np.add.at(want, own, gradient.astype(float))
+    np.testing.assert_allclose(sums, want[touched], atol=1e-4)
