@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salesloom.llm import jaccard, mixing, packing, substrings, toxicity
 from salesloom.llm.common import ship, stage, table, text_key
+from salesloom.staging import materialise_alone as stage_alone
 
 
 def tokenizer_path() -> str:
@@ -50,8 +51,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the words of passages that repeat; n_chars follows the text."""
     ship(spark)
-    cut = substrings.repeats(docs).where("kept_text is not null").select(
-        F.col("dk").alias("_dk"), F.col("th").alias("_th"), F.col("kept_text").alias("_kept")
+    # The search's own tables go before the whole texts are shuffled once more.
+    cut = stage_alone(
+        spark, lambda: substrings.repeats(docs).where("kept_text is not null").select(
+            F.col("dk").alias("_dk"), F.col("th").alias("_th"), F.col("kept_text").alias("_kept")
+        ), "cut",
     ).dropDuplicates(["_dk", "_th"])
     text = F.coalesce("_kept", "text")
     joined = _keyed(docs).join(cut, ["_dk", "_th"], "left")

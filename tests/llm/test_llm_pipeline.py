@@ -104,3 +104,17 @@ def test_copies_go_to_the_rows_of_their_source(spark, documents):
         want[r.source, r.doc_id] += r.copies
     got = Counter((r.source, r.doc_id) for r in corpus_pipeline.mixed(spark, docs, "").collect())
     assert got == +want
+
+
+def test_tables_of_the_search_go_before_texts_are_joined(spark, documents):
+    """Only the cut texts are left on disk when the stage returns its rows."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(1, f"a {passage} b"), (2, f"c {passage}"), (3, "short"), (4, None), (1, f"a {passage} b")])
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in folder.iterdir()}
+    out = corpus_pipeline.unrepeated(spark, docs, "")
+    left = {p.name for p in folder.iterdir()} - before
+    assert [name.split("-")[0] for name in left] == ["cut"]
+    found = out.collect()
+    assert len(found) == 5 and all(r.n_chars == len(r.text) for r in found if r.text is not None)
+    assert {(2, "c"), (3, "short"), (4, None)} <= {(r.doc_id, r.text) for r in found}
