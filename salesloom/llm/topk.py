@@ -33,8 +33,9 @@ class Index:
     """Posting segments of a block of integer vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.doubles = ids, vectors, vectors.astype(np.float64)
         self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
+        self.largest = max(-int(self.low.min()), int(self.high.max()), 0)
         self.width = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
         self.level = ((vectors - self.low) // self.width).astype(np.uint8)
         order = np.argsort(self.level, axis=0, kind="stable").T.copy()
@@ -65,8 +66,8 @@ class Index:
         dims, levels = np.nonzero(self.sizes)
         turn = np.argsort(-most[dims, levels], kind="stable")
         dims, levels = dims[turn], levels[turn]
-        depth = np.where(upward[:, 0], self.level, np.uint8(LEVELS - 1) - self.level)
         gained = np.zeros(n)
+        hidden = (weight * (width - 1))[:, 0]
         reached = np.full(len(query), LEVELS)  # depth down to which segments were added
         cuts = np.linspace(0, len(dims), ROUNDS + 1).astype(int)
         for step, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -78,22 +79,39 @@ class Index:
             np.minimum.at(reached, d, np.where(upward[d, 0], v, LEVELS - 1 - v))
             if step < ROUNDS // 2 or step % 2 == 0 and hi < len(dims):
                 continue
+            bar = np.partition(gained[others], len(others) - k)[-k]
+            if hi == len(dims):
+                # Every level was added: only what the levels hide is still possible.
+                members = others[gained[others] + hidden.sum() >= bar]
+                break
             # The most that is still possible: for components already added what their
             # level hides, for the others the most of the next segment to come.
             ahead = np.zeros(len(query))
             later = dims[hi:]
             np.maximum.at(ahead, later, most[later, levels[hi:]])
-            hidden = (weight * (width - 1))[:, 0]
-            added = (depth >= reached.astype(np.uint8)).astype(np.float64)
-            able = gained + ahead.sum() + np.einsum("ij,j->i", added, hidden - ahead)
-            bar = np.partition(gained[others], len(others) - k)[-k]
+            few = n // FEW + k
+            # No row can gain less than the smaller of the two, which often settles that
+            # too many stay possible.
+            if np.count_nonzero(gained[others] + np.minimum(hidden, ahead).sum() >= bar) > few:
+                continue
+            first = np.where(upward[:, 0] | (reached == LEVELS), reached, 0)
+            last = np.where(upward[:, 0], LEVELS, LEVELS - 1 - reached).clip(0)
+            added = (self.level >= first.astype(np.uint8)) & (self.level <= last.astype(np.uint8))
+            able = gained + ahead.sum() + added.astype(np.float64) @ (hidden - ahead)
             members = others[able[others] >= bar]
-            if len(members) <= n // FEW + k or hi == len(dims):
+            if len(members) <= few:
                 break
         return self._best(members, query, k)
 
     def _best(self, rows: np.ndarray, query: np.ndarray, k: int):
-        scores = self.vectors[rows] @ query
+        if self.largest * int(np.abs(query).max(initial=0)) * len(query) < 2**53:
+            # Doubles hold every sum exactly, and their products are much faster.
+            scores = (self.doubles[rows] @ query.astype(np.float64)).astype(np.int64)
+        else:
+            scores = self.vectors[rows] @ query
+        if len(rows) > k:
+            high = np.flatnonzero(scores >= np.partition(scores, len(rows) - k)[-k])
+            rows, scores = rows[high], scores[high]
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return rows[best], scores[best]
 

@@ -1,4 +1,5 @@
 import math
+import time
 import tracemalloc
 
 import duckdb
@@ -175,3 +176,35 @@ def test_index_stops_only_on_proof(dim):
         scores[q] = -10**15
         want = np.lexsort((np.arange(3000), -scores))[:10]
         assert index.top(x[q], 10, q)[0].tolist() == want.tolist()
+
+
+def least_seconds(f, repeats=7):
+    times = []
+    for _ in range(repeats):
+        start = time.process_time()
+        f()
+        times.append(time.process_time() - start)
+    return min(times)
+
+
+def test_a_query_costs_little_beside_adding_up_its_postings():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 130, (7000, 64)).astype(np.int64)
+    index = topk.Index(np.arange(7000), x)
+    postings, gains = np.concatenate(index.segments), np.ones(x.size)
+    adding = least_seconds(lambda: [np.bincount(postings, gains, 7000) for _ in range(5)])
+    searching = least_seconds(lambda: [index.top(x[q], 10, q) for q in range(0, 500, 100)])
+    assert searching < 9 * adding
+
+
+@pytest.mark.parametrize("scale", [1, 10**6, 10**8])
+def test_scores_are_exact_beyond_what_doubles_hold(scale):
+    rng = np.random.default_rng(scale)
+    x = rng.integers(-9, 9, (900, 4)) * scale + rng.integers(0, 3, (900, 4))
+    index = topk.Index(np.arange(900), x)
+    for q in range(0, 900, 100):
+        scores = x @ x[q]
+        others = np.flatnonzero(np.arange(900) != q)
+        want = others[np.lexsort((others, -scores[others]))[:10]]
+        rows, got = index.top(x[q], 10, q)
+        assert rows.tolist() == want.tolist() and got.tolist() == scores[want].tolist()
