@@ -114,6 +114,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 204
                 [batch.column("doc_id").take(pa.array(columns[0])), *map(pa.array, columns[1:])],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
+        # The worker goes on to other work, and workers that wait would keep their words as well.
+        own.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

@@ -274,6 +274,30 @@ def test_packing_round_trip(documents):
     assert packing.pack(packing.pieces(documents([]), TOKENIZER)).count() == 0
 
 
+def test_a_worker_keeps_no_words_between_tasks():
+    import pyarrow as pa
+
+    class Docs:
+        """Runs the task's function here, to see what it leaves behind."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a word", None]})
+            return [b.to_pydict() for b in function(iter([batch]))]
+
+    class Column:
+        def cast(self, kind):
+            return self
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing.F, "col", lambda name: Column())
+        [got] = packing.pieces(Docs(), TOKENIZER)
+    assert got["doc_id"] == [1, 2] and got["length"][1] == 1
+    assert not packing.encoder(TOKENIZER)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)
