@@ -366,6 +366,8 @@ def _short(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                         own.forget()
         if rows:
             yield block()
+        # The worker goes on to other work; its next task learns the frequent units in a moment.
+        own.forget()
 
     return docs.mapInArrow(align, BLOCKS)
 
@@ -446,16 +448,18 @@ def _long(docs: DataFrame, paths: tuple[str, str], size: int) -> DataFrame:
 def _block_pairs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
     """Distinct pairs of each block and how often they are linked there."""
     for batch in batches:
-        for row in batch.to_pylist():
+        # A batch may hold many blocks of megabytes: they are read where they lie, one by one.
+        for i, block in enumerate(batch.column("block").to_pylist()):
             pairs, links, places = (
-                np.frombuffer(row[c], k) for c, k in (("pairs", kind), ("links", "<u4"), ("units", "<u4"))
+                np.frombuffer(batch.column(c)[i].as_buffer(), k)
+                for c, k in (("pairs", kind), ("links", "<u4"), ("units", "<u4"))
             )
             times = np.bincount(places, minlength=len(links))
             found, at = np.unique(pairs, return_inverse=True)
             number = np.bincount(at, weights=np.repeat(times, links), minlength=len(found))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(found), row["block"])), pa.array(found.astype(np.int64)),
+                    pa.array(np.full(len(found), block)), pa.array(found.astype(np.int64)),
                     pa.array(number.astype(np.int64)),
                 ], names=["block", "pair", "links"],
             )

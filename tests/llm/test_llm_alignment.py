@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import clashing
@@ -144,3 +146,42 @@ def test_tasks_of_long_documents_have_one_python_worker(spark, documents):
     plan = alignment._long(docs, PATHS, 16)._jdf.queryExecution().executedPlan().toString()
     steps = [sum("InPandas" in line for line in part.splitlines()) for part in plan.split("Exchange")]
     assert sum(steps) >= 3 and max(steps) == 1
+
+
+def test_a_batch_of_large_blocks_is_read_block_by_block():
+    kind, size, blocks = np.dtype("<u4"), 1 << 18, 24
+    pairs = np.tile(np.arange(64, dtype=kind), size // 64)
+    one = alignment._block(0, [(1, [1, 1, 1, 1], "x")], [1], [0], [size], pairs)
+    batch = pa.Table.from_batches([one] * blocks).combine_chunks().to_batches()[0]
+
+    tracemalloc.start()
+    try:
+        found = [b.to_pydict() for b in alignment._block_pairs(iter([batch]), kind)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == blocks
+    assert all(f["pair"] == list(range(64)) and f["links"] == [size // 64] * 64 for f in found)
+    assert peak < batch.nbytes
+
+
+def test_a_worker_keeps_no_units_between_tasks(spark):
+    docs = spark.createDataFrame([(i, f"mot{i} et encore {i}") for i in range(50)], "doc_id long, text string")
+    got = []
+
+    class Docs:
+        """Runs the task's function here, to see what it leaves behind."""
+
+        def mapInArrow(self, function, schema):
+            batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["un mot", "deux mots"]})
+            got.extend(function(iter([batch])))
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(alignment.TaskContext, "get", staticmethod(Context))
+        alignment._short(Docs(), PATHS)
+    assert got[0].column("doc_id").to_pylist() == [[1, 2]]
+    assert not alignment.aligner(*PATHS).known
+    assert alignment.align(docs, *PATHS).count() == 50
