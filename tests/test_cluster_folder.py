@@ -10,6 +10,7 @@ from tools.check_oracle import canonical
 
 QUERIES = [
     "csv_roundtrip",
+    "clean",
 ]
 
 
