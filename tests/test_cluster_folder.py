@@ -11,6 +11,7 @@ from tools.check_oracle import canonical
 QUERIES = [
     "csv_roundtrip",
     "clean",
+    "heatmap_empty_cells",
 ]
 
 
