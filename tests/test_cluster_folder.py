@@ -12,6 +12,7 @@ QUERIES = [
     "csv_roundtrip",
     "clean",
     "heatmap_empty_cells",
+    "exact_medians",
 ]
 
 
