@@ -13,6 +13,7 @@ QUERIES = [
     "clean",
     "heatmap_empty_cells",
     "exact_medians",
+    "heatmap_long",
 ]
 
 
