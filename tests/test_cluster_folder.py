@@ -14,6 +14,7 @@ QUERIES = [
     "heatmap_empty_cells",
     "exact_medians",
     "heatmap_long",
+    "impute_median",
 ]
 
 
