@@ -15,6 +15,7 @@ QUERIES = [
     "exact_medians",
     "heatmap_long",
     "impute_median",
+    "ingest",
 ]
 
 
