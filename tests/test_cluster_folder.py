@@ -16,6 +16,7 @@ QUERIES = [
     "heatmap_long",
     "impute_median",
     "ingest",
+    "medians_incremental",
 ]
 
 
