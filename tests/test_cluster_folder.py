@@ -17,6 +17,7 @@ QUERIES = [
     "impute_median",
     "ingest",
     "medians_incremental",
+    "kpis_from_raw",
 ]
 
 
