@@ -18,6 +18,7 @@ QUERIES = [
     "ingest",
     "medians_incremental",
     "kpis_from_raw",
+    "monthly_from_raw",
 ]
 
 
