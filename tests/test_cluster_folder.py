@@ -19,6 +19,7 @@ QUERIES = [
     "medians_incremental",
     "kpis_from_raw",
     "monthly_from_raw",
+    "normalize_discount",
 ]
 
 
