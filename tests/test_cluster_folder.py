@@ -20,6 +20,7 @@ QUERIES = [
     "kpis_from_raw",
     "monthly_from_raw",
     "normalize_discount",
+    "provenance",
 ]
 
 
