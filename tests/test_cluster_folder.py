@@ -21,6 +21,7 @@ QUERIES = [
     "monthly_from_raw",
     "normalize_discount",
     "provenance",
+    "quarantine_files",
 ]
 
 
