@@ -22,6 +22,7 @@ QUERIES = [
     "normalize_discount",
     "provenance",
     "quarantine_files",
+    "quality_report",
 ]
 
 
