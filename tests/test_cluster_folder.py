@@ -23,6 +23,7 @@ QUERIES = [
     "provenance",
     "quarantine_files",
     "quality_report",
+    "reports_incremental",
 ]
 
 
