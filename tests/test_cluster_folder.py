@@ -24,6 +24,7 @@ QUERIES = [
     "quarantine_files",
     "quality_report",
     "reports_incremental",
+    "reconcile",
 ]
 
 
