@@ -25,6 +25,7 @@ QUERIES = [
     "quality_report",
     "reports_incremental",
     "reconcile",
+    "run_heatmap",
 ]
 
 
