@@ -26,6 +26,7 @@ QUERIES = [
     "reports_incremental",
     "reconcile",
     "run_heatmap",
+    "run_reports",
 ]
 
 
