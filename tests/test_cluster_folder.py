@@ -27,6 +27,7 @@ QUERIES = [
     "reconcile",
     "run_heatmap",
     "run_reports",
+    "scan_csv_loose_quotes",
 ]
 
 
