@@ -28,6 +28,7 @@ QUERIES = [
     "run_heatmap",
     "run_reports",
     "scan_csv_loose_quotes",
+    "scan_csv",
 ]
 
 
