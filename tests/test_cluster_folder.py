@@ -29,6 +29,7 @@ QUERIES = [
     "run_reports",
     "scan_csv_loose_quotes",
     "scan_csv",
+    "scan_csv_quoted",
 ]
 
 
