@@ -30,6 +30,7 @@ QUERIES = [
     "scan_csv_loose_quotes",
     "scan_csv",
     "scan_csv_quoted",
+    "stream_dedupe",
 ]
 
 
