@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from ..staging import materialise as stage
+from ..staging import materialise as stage, release
 
 __all__ = [
     "WordHashes", "blockwise", "components", "extend", "join_hot", "join_salted", "match_pairs",
@@ -207,6 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not count or (count, digest) == mark:
             break
         mark = (count, digest)
+        release(edges.sparkSession)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from salesloom.llm import common
 from salesloom.llm.common import BLOCK, blockwise, components, extend, join_hot, match_pairs, ranked
 
 
@@ -73,3 +74,12 @@ def test_extend_passes_other_columns_through(spark):
     found = extend(df, "t", lambda: lambda t: (len(t or ""),), "n long")
     assert found.columns == ["i", "x", "n"]
     assert {(r.i, r.n) for r in found.collect()} == {(big, 1), (None, 0)}
+
+
+def test_rounds_of_the_stars_let_go_of_the_former_ones(spark, monkeypatch):
+    released = []
+    monkeypatch.setattr(common, "release", released.append)
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u bigint, v bigint")
+    rows = common.components(path).collect()
+    assert sorted((r["node"], r["component"]) for r in rows) == [(i, 0) for i in range(41)]
+    assert len(released) > 1
