@@ -486,7 +486,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, fragment_bytes: int = FRAGM
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     long = F.coalesce(F.octet_length("text") >= fragment_bytes, F.lit(False))
     blocks = stage(
-        _short(rows.where(~long), paths).unionByName(_long(rows.where(long), paths, fragment_bytes)), "aligned"
+        _short(rows.where(~long), paths).unionByName(_long(rows.where(long), paths, fragment_bytes)),
+        "aligned", large_rows=True,
     )
     pairs = stage(
         blocks.select("block", "units", "links", "pairs").mapInArrow(lambda b: _block_pairs(b, kind), "block long, pair long, links long"),

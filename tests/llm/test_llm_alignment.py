@@ -185,3 +185,16 @@ def test_a_worker_keeps_no_units_between_tasks(spark):
     assert got[0].column("doc_id").to_pylist() == [[1, 2]]
     assert not alignment.aligner(*PATHS).known
     assert alignment.align(docs, *PATHS).count() == 50
+
+
+def test_blocks_are_stored_a_few_to_a_row_group(documents, monkeypatch):
+    kinds = {}
+
+    def spy(df, name, **options):
+        kinds[name] = options
+        return store(df, name, **options)
+
+    store = alignment.stage
+    monkeypatch.setattr(alignment, "stage", spy)
+    assert alignment.align(documents([(1, "some words"), (2, "a text")]), *PATHS).count() == 2
+    assert kinds["aligned"] == {"large_rows": True}

@@ -1,5 +1,7 @@
+import os
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 from salesloom import staging
@@ -21,6 +23,17 @@ def test_stored_tables_are_read_back_and_removed_with_their_block(spark):
     assert sorted(tuple(r) for r in kept.collect()) == [(1, None), (2, "b")]
 
 
+def test_row_groups_of_large_rows_hold_a_few_of_them(spark):
+    rows = [(i, bytearray(os.urandom(1 << 20))) for i in range(24)]
+    df = spark.createDataFrame(rows, "a int, b binary").coalesce(1)
+    kept = staging.materialise(df, "large", large_rows=True)
+    (file,) = kept.inputFiles()
+    found = pq.ParquetFile(file.removeprefix("file:")).metadata
+    sizes = [found.row_group(i).total_byte_size for i in range(found.num_row_groups)]
+    assert found.num_rows == 24 and max(sizes) <= 10 << 20
+    assert sorted((r.a, r.b) for r in kept.collect()) == rows
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     class Conf:
         def get(self, key, default):
