@@ -39,7 +39,7 @@ FAN = 8
 BLOCK_UNITS = 1 << 18
 #: Units that a worker remembers, bytes of text that it handles at once, and units that one
 #: call of the tokenizers encodes.
-REMEMBERED, PART_BYTES, CALL_UNITS = 1 << 16, 1 << 20, 2_048
+REMEMBERED, PART_BYTES, CALL_UNITS = 1 << 18, 1 << 20, 2_048
 
 # A space ends a unit unless white space (ASCII, then Unicode in UTF-8) stands before it.
 _CUT = re.compile(

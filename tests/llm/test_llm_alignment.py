@@ -198,3 +198,26 @@ def test_blocks_are_stored_a_few_to_a_row_group(documents, monkeypatch):
     monkeypatch.setattr(alignment, "stage", spy)
     assert alignment.align(documents([(1, "some words"), (2, "a text")]), *PATHS).count() == 2
     assert kinds["aligned"] == {"large_rows": True}
+
+
+def test_a_task_learns_its_frequent_units_once(monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(low, low + 1_000)) for low in range(0, 100_000, 1_000)]
+    learnt, tasks = [], []
+
+    class Docs:
+        """Keeps the task's function, to run it here."""
+
+        def mapInArrow(self, function, schema):
+            tasks.append(function)
+
+    def learn(own, fresh):
+        learnt.append(len(fresh))
+        return kept(own, fresh)
+
+    kept = alignment.Aligner._learn
+    monkeypatch.setattr(alignment.Aligner, "_learn", learn)
+    monkeypatch.setattr(alignment.TaskContext, "get", lambda: type("", (), {"partitionId": lambda self: 0})())
+    alignment._short(Docs(), PATHS)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts * 3})
+    assert sum(b.num_rows for b in tasks[0](iter([batch]))) >= 1
+    assert sum(learnt) == 100_000
