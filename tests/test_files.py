@@ -149,6 +149,18 @@ def test_a_reserved_file_is_read_in_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def test_tasks_open_the_view_of_reserved_files_themselves(spark, tmp_path):
+    """As executors do that are processes of their own: no file system of the driver serves them."""
+    write(tmp_path, "_a.csv", lines_of(PLAIN))
+    write(tmp_path, "_b.csv", lines_of(PLAIN.replace("Tablette", '"a\nb"')))
+    spark.conf.set("fs.viewfs.impl.disable.cache", "true")
+    try:
+        scan = scanned(spark, tmp_path)
+        assert sorted(rows(scan.lines, "source_fichier", "produit")) == [("_a.csv", "Tablette"), ("_b.csv", "a\nb")]
+    finally:
+        spark.conf.unset("fs.viewfs.impl.disable.cache")
+
+
 def test_wide_row_after_a_record_of_several_lines(spark, tmp_path):
     write(tmp_path, "bon.csv", lines_of(PLAIN))
     write(tmp_path, "large.csv", lines_of(PLAIN.replace("Tablette", '"a\nb"'), PLAIN + ",x"))
