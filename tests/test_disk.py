@@ -45,7 +45,7 @@ def watched(spark, monkeypatch, module, name):
     return seen
 
 
-@pytest.mark.parametrize("name, drops", [("scan_csv_quoted", 1)])
+@pytest.mark.parametrize("name, drops", [("stream_subfolders", 3), ("scan_csv_quoted", 1)])
 def test_input_files_are_written_from_lines_joined_once(spark, star, monkeypatch, name, drops):  # noqa: F811
     seen = watched(spark, monkeypatch, catalog.sinks, "write_csv")
     assert contract.queries()[name](spark, star).count() > 0
