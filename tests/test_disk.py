@@ -52,6 +52,13 @@ def test_input_files_are_written_from_lines_joined_once(spark, star, monkeypatch
     assert seen == [(False, set())] * drops
 
 
+@pytest.mark.parametrize("name", ["stream_dedupe"])
+def test_drops_are_merged_from_lines_joined_once(spark, star, monkeypatch, name):  # noqa: F811
+    seen = watched(spark, monkeypatch, catalog.incremental, "add_drop")
+    assert contract.queries()[name](spark, star).count() > 0
+    assert seen == [(False, set())] * 3
+
+
 def test_lines_of_quoted_records_are_stored_once_and_meet_once(spark, tmp_path, monkeypatch):
     write(tmp_path, "a.csv", lines_of(*[PLAIN.replace("Tablette", f'"T\n\n{i}"') for i in range(300)], PLAIN))
     stored, kept = [], quoted_lines.materialise
