@@ -52,7 +52,7 @@ def test_input_files_are_written_from_lines_joined_once(spark, star, monkeypatch
     assert seen == [(False, set())] * drops
 
 
-@pytest.mark.parametrize("name", ["stream_dedupe", "reports_incremental"])
+@pytest.mark.parametrize("name", ["stream_dedupe", "reports_incremental", "medians_incremental"])
 def test_drops_are_merged_from_lines_joined_once(spark, star, monkeypatch, name):  # noqa: F811
     seen = watched(spark, monkeypatch, catalog.incremental, "add_drop")
     assert contract.queries()[name](spark, star).count() > 0
